@@ -30,6 +30,11 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns a row hash can read; maps have no defined order."""
+    return [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+
+
 def skew_join(
     many: DataFrame,
     one: DataFrame,
@@ -40,7 +45,7 @@ def skew_join(
     """Join ``many`` to ``one`` on ``key`` (``how`` is inner or left).
 
     Rows of a hot key on the ``many`` side are dealt out over its slices by a
-    hash of the whole row, and the matching ``one`` rows are copied once per
+    hash of the row, and the matching ``one`` rows are copied once per
     slice; the copies add up to at most two rows per shuffle partition for a
     unique key. Rows without a key cannot match and are dealt out as well.
     """
@@ -49,13 +54,14 @@ def skew_join(
     hot = hot_keys(many, key) if hot is None else hot
     partitions = parallelism(many.sparkSession)
     salt, slices = free_name(many, "salt"), "slices"
-    spread = F.xxhash64(*cols(many.columns))
+    spread = F.xxhash64(*cols(_hashable(many)))
     dealt = (
         many.join(F.broadcast(hot), col(key) == F.col("hot_key"), "left")
         .withColumn(
             salt,
             F.when(col(key).isNull(), F.pmod(spread, F.lit(partitions)))
-            .otherwise(F.coalesce(F.pmod(spread, F.col(slices)), F.lit(0)))
+            .when(F.col(slices) > 1, F.pmod(spread, F.col(slices)))
+            .otherwise(F.lit(0))
             .cast("int"),
         )
         .drop("hot_key", slices)

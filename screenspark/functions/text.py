@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -52,7 +53,9 @@ def _spelled_out(text: Column) -> Column:
     """Replace the characters that fold to several letters, in texts that hold one."""
     _, _, several = folding_tables()
     without = F.translate(text, "".join(c for c, _ in several), "")
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(r).alias("r")) for c, r in several])
+    # One JSON constant: Spark folds it, and 144 struct literals are slow to build.
+    spelled = json.dumps([{"c": c, "r": r} for c, r in several])
+    pairs = F.from_json(F.lit(spelled), "array<struct<c:string,r:string>>")
     replaced = F.aggregate(pairs, text, lambda done, p: F.replace(done, p["c"], p["r"]))
     return F.when(F.char_length(without) == F.char_length(text), text).otherwise(replaced)
 
@@ -104,7 +107,7 @@ def tokens(text: Column, stop: Sequence[str] | None = None) -> Column:
 
 
 def token_set(text: Column, stop: Sequence[str] | None = None) -> Column:
-    drop = F.array(F.lit(""), *[F.lit(w) for w in (stop_words() if stop is None else stop)])
+    drop = F.split(F.lit(" " + " ".join(stop_words() if stop is None else stop)), " ")
     words = F.split(normalize_text(F.coalesce(text, F.lit(""))), " ")
     return F.array_except(words, drop)
 

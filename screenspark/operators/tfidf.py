@@ -142,7 +142,7 @@ def _dense(vec: Column) -> Column:
 
     def gap(v: Column, e: Column, i: Column) -> Column:
         earlier = F.when(i == 0, F.lit(-1)).otherwise(F.get(v, i - 1)["pos"])
-        return F.array_repeat(F.lit(0.0), e["pos"] - earlier - 1)
+        return F.array_repeat(F.lit(0.0), (e["pos"] - earlier - 1).cast("int"))
 
     def spread(v: Column) -> Column:
         return F.flatten(F.transform(v, lambda e, i: F.concat(gap(v, e, i), F.array(e["w"]))))
@@ -174,6 +174,6 @@ def similarity(
     product = F.aggregate(
         "cand_vec",
         F.lit(0.0),
-        lambda s, e: s + e["w"] * F.coalesce(F.get(F.col("job_vec"), e["pos"]), F.lit(0.0)),
+        lambda s, e: s + e["w"] * F.coalesce(F.get(F.col("job_vec"), e["pos"].cast("int")), F.lit(0.0)),
     )
     return both.withColumn("sim_cv_vaga", F.coalesce(product, F.lit(0.0))).drop("cand_vec", "job_vec")

@@ -42,5 +42,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Fewer rows than this are not worth a task of their own.
+ROWS_PER_TASK = 500
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` and spread a small table over as many cores as it can use.
+
+    Adaptive execution may leave fewer partitions than cores; each is then below
+    the advisory partition size, so dealing the rows out again is cheap.
+    """
+    written = checkpointed(df)
+    cores = written.sparkSession.sparkContext.defaultParallelism
+    now = written.rdd.getNumPartitions()
+    if now > cores:
+        return written
+    wanted = max(1, min(cores, written.count() // ROWS_PER_TASK))
+    return written if wanted == now else written.repartition(wanted)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

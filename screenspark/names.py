@@ -36,3 +36,8 @@ def free_name(df: DataFrame, wish: str) -> str:
     while name in df.columns:
         name = "_" + name
     return name
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """Columns a row hash can read; maps have no defined order."""
+    return [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]

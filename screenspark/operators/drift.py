@@ -17,7 +17,7 @@ from screenspark.functions.pvalues import drift_p_value
 from screenspark.names import col, cols
 from screenspark.operators.joins import aligned_counts
 from screenspark.operators.prefix import running_totals
-from screenspark.operators.profile import is_numeric
+from screenspark.operators.profile import is_numeric, value_key
 
 EMPTY = "feature string, statistic double, dof int"
 
@@ -42,7 +42,7 @@ def chi_square(ref: DataFrame, prod: DataFrame, names: Sequence[str]) -> DataFra
     A value the reference never has is divided by 1 instead of its expected 0.
     Columns without any value on one side give no row.
     """
-    counts = aligned_counts(ref, prod, names)
+    counts = aligned_counts(ref, prod, names, value_key)
     totals = counts.groupBy(F.col("feature").alias("total_feature")).agg(
         F.sum("ref_c").alias("ref_n"), F.sum("prod_c").alias("prod_n")
     )

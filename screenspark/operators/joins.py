@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenspark.functions.scalars import merged_maps
-from screenspark.names import col, cols, free_name
+from screenspark.names import col, cols, free_name, hashable
 from screenspark.session import parallelism
 
 
@@ -30,11 +30,6 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _hashable(df: DataFrame) -> list[str]:
-    """Columns a row hash can read; maps have no defined order."""
-    return [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-
-
 def skew_join(
     many: DataFrame,
     one: DataFrame,
@@ -54,7 +49,7 @@ def skew_join(
     hot = hot_keys(many, key) if hot is None else hot
     partitions = parallelism(many.sparkSession)
     salt, slices = free_name(many, "salt"), "slices"
-    spread = F.xxhash64(*cols(_hashable(many)))
+    spread = F.xxhash64(*cols(hashable(many)))
     dealt = (
         many.join(F.broadcast(hot), col(key) == F.col("hot_key"), "left")
         .withColumn(
@@ -142,11 +137,16 @@ def job_candidate_features(
     return joined.withColumn(out, merged_maps(col(job_features), col(candidate_features)))
 
 
-def aligned_counts(ref: DataFrame, prod: DataFrame, names: Sequence[str]) -> DataFrame:
+def aligned_counts(
+    ref: DataFrame,
+    prod: DataFrame,
+    names: Sequence[str],
+    key: Callable[[Column], Column] = lambda value: value,
+) -> DataFrame:
     """Value counts of both tables side by side: feature, value, ref_c, prod_c.
 
     One tagged union and one aggregation stand in for the outer join of two
-    count tables; nulls are not a value.
+    count tables; nulls are not a value. ``key`` may shorten the values.
     """
 
     def long(df: DataFrame, side: Column) -> DataFrame:
@@ -154,6 +154,7 @@ def aligned_counts(ref: DataFrame, prod: DataFrame, names: Sequence[str]) -> Dat
         return texts.unpivot([], cols(names), "feature", "value").withColumn("is_ref", side)
 
     both = long(ref, F.lit(1)).unionByName(long(prod, F.lit(0))).filter("value is not null")
+    both = both.withColumn("value", key(F.col("value")))
     return both.groupBy("feature", "value").agg(
         F.sum("is_ref").alias("ref_c"), F.sum(1 - F.col("is_ref")).alias("prod_c")
     )

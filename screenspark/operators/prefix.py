@@ -1,10 +1,11 @@
 """Running totals over a globally ordered column without a one-task window.
 
-The column is cut into ranges at sampled quantiles. The cut points come back to
-the driver (a few hundred numbers per feature) and become constants, so every
+The column is cut into ranges at quantiles of a sample. The cut points come back
+to the driver (a few hundred numbers per feature) and become constants, so every
 later reader of the table, also after a lost executor, sees the same ranges.
 Each range is summed on its own and shifted by the totals of the ranges before
-it. The cut points only balance the work; the totals are exact for any cuts.
+it. The cut points only balance the work; every row is summed, and the totals
+are exact for any cuts. A column too short to be sampled is one range.
 """
 
 from __future__ import annotations
@@ -19,19 +20,31 @@ from screenspark.session import parallelism
 
 # Ranges per feature; more would only lengthen the cut-point lookup.
 MAX_RANGES = 512
+# Share of the rows that is looked at to place the cut points.
+SAMPLE = 0.01
 
 
-def _cut_points(df: DataFrame, feature: str, value: str) -> DataFrame:
-    spark = df.sparkSession
-    ranges = max(2, min(parallelism(spark), MAX_RANGES))
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+def _cut_points(df: DataFrame) -> dict[str, list[float]]:
+    ranges = max(2, min(parallelism(df.sparkSession), MAX_RANGES))
+    steps = F.lit([i / ranges for i in range(1, ranges)])
     found = (
-        df.groupBy(col(feature).alias("feature"))
-        .agg(F.percentile_approx(col(value), steps, 10 * ranges).alias("cuts"))
+        df.sample(SAMPLE, seed=1)
+        .groupBy("feature")
+        .agg(F.percentile_approx("v", steps, 10 * ranges).alias("cuts"))
         .collect()
     )
-    rows = [(r["feature"], sorted(set(r["cuts"] or []))) for r in found]
-    return spark.createDataFrame(rows, "cut_feature string, cuts array<double>")
+    return {r["feature"]: sorted(set(r["cuts"] or [])) for r in found}
+
+
+def _with_cuts(df: DataFrame, cuts: dict[str, list[float]], single: bool) -> DataFrame:
+    """Attach every feature's cut points: a constant, or a join with one row per feature."""
+    none = F.array().cast("array<double>")
+    if single:
+        points = next(iter(cuts.values()), [])
+        return df.withColumn("cuts", F.lit(points) if points else none)
+    table = df.sparkSession.createDataFrame(list(cuts.items()), "cut_feature string, found array<double>")
+    joined = df.join(F.broadcast(table), F.col("feature") == F.col("cut_feature"), "left")
+    return joined.withColumn("cuts", F.coalesce("found", none))
 
 
 def running_totals(
@@ -54,9 +67,9 @@ def running_totals(
         (col(value).cast("double") * sign).alias("v"),
         *[w.alias(n) for n, w in weights.items()],
     ).filter("v is not null")
-    cuts = _cut_points(base, "feature", "v")
+    cuts = _cut_points(base)
     sums = base.groupBy("feature", "v").agg(*[F.sum(n).alias(n) for n in weights])
-    ranged = sums.join(F.broadcast(cuts), F.col("feature") == F.col("cut_feature")).select(
+    ranged = _with_cuts(sums, cuts, feature is None).select(
         "feature",
         "v",
         *weights,

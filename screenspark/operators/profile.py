@@ -21,6 +21,12 @@ NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 DIGEST_FROM = 64
 
 
+def value_key(value: Column) -> Column:
+    """The value itself, or the digest of a long one."""
+    digest = F.sha2(value.cast("binary"), 256)
+    return F.when(F.char_length(value) > DIGEST_FROM, digest).otherwise(value)
+
+
 def is_numeric(kind: str) -> bool:
     return kind in NUMERIC or kind.startswith("decimal")
 
@@ -86,17 +92,24 @@ def describe(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return moments.join(F.broadcast(quarters), "feature", "left")
 
 
-def _value_table(df: DataFrame, names: Sequence[str], keep_value: bool = False) -> DataFrame:
-    """One row per (column, distinct value) with its row count and text length."""
+def _long_form(df: DataFrame, names: Sequence[str]) -> DataFrame:
     texts = df.select(*[col(n).cast("string").alias(n) for n in names])
-    long = texts.unpivot([], cols(names), "feature", "value")
-    length = F.char_length("value").alias("length")
-    if keep_value:
-        return long.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    long_text = F.char_length("value") > DIGEST_FROM
-    key = F.when(long_text, F.sha2(F.col("value").cast("binary"), 256)).otherwise(F.col("value"))
-    return long.select("feature", key.alias("key"), length).groupBy("feature", "key", "length").agg(
-        F.count("*").alias("n")
+    return texts.unpivot([], cols(names), "feature", "value")
+
+
+def _value_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per (column, distinct value): its key, head, text length and row count."""
+    value = F.col("value")
+    return (
+        _long_form(df, names)
+        .select(
+            "feature",
+            value_key(value).alias("key"),
+            F.substring("value", 1, DIGEST_FROM).alias("head"),
+            F.char_length("value").alias("length"),
+        )
+        .groupBy("feature", "key", "head", "length")
+        .agg(F.count("*").alias("n"))
     )
 
 
@@ -168,6 +181,29 @@ def sorted_profile(profile: DataFrame) -> DataFrame:
     return profile.orderBy("tipo", F.desc("missing_rate"), F.desc("nunique"), "coluna")
 
 
+def _smallest_values(df: DataFrame, values: DataFrame, n: int) -> DataFrame:
+    """The ``n`` smallest distinct values per column, without shuffling whole texts.
+
+    A smaller value never has a larger head, so the wanted values are among the
+    rows whose head is at most the n-th smallest head of their column.
+    """
+
+    def smallest(rows: DataFrame, name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("feature").orderBy(name))
+        distinct = rows.filter(F.col(name).isNotNull()).select("feature", name).distinct()
+        return distinct.withColumn("place", place).filter(F.col("place") <= n)
+
+    # One bound per column.
+    bounds = smallest(values, "head").groupBy(F.col("feature").alias("b_feature")).agg(
+        F.max("head").alias("bound")
+    )
+    near = _long_form(df, df.columns).join(
+        F.broadcast(bounds),
+        (F.col("feature") == F.col("b_feature")) & (F.substring("value", 1, DIGEST_FROM) <= F.col("bound")),
+    )
+    return smallest(near, "value")
+
+
 def column_audit(df: DataFrame, examples: int = 5) -> DataFrame:
     """Type, distinct values, missing ratio (4 digits) and some example values per column.
 
@@ -176,19 +212,15 @@ def column_audit(df: DataFrame, examples: int = 5) -> DataFrame:
     before they are collected.
     """
     kinds = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
-    values = _value_table(df, df.columns, keep_value=True)
+    values = _value_table(df, df.columns)
     stats = values.groupBy("feature").agg(
-        F.count("value").alias("n_unique"),
-        F.round(F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 4).alias(
+        F.count("key").alias("n_unique"),
+        F.round(F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 4).alias(
             "missing_ratio"
         ),
     )
-    place = F.row_number().over(Window.partitionBy("feature").orderBy("value"))
     shown = (
-        values.filter("value is not null")
-        .select("feature", "value")
-        .withColumn("place", place)
-        .filter(F.col("place") <= examples)
+        _smallest_values(df, values, examples)
         .groupBy("feature")
         .agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("exemplos"))
     )

@@ -37,8 +37,11 @@ def prompt_texts(
         F.lit(": "),
         truncated(col(cv), limit),
     )
+    place = F.when(
+        col(rank) > fixed.TOP_K_MAX, F.raise_error(F.lit("cut the candidates of a job before building its prompt"))
+    ).otherwise(col(rank))
     lines = ranked.groupBy(col(job_key)).agg(
-        F.sort_array(F.collect_list(F.struct(col(rank).alias("rank"), line.alias("line")))).alias("lines")
+        F.sort_array(F.collect_list(F.struct(place.cast("int").alias("rank"), line.alias("line")))).alias("lines")
     )
     people = F.transform("lines", lambda x: x["line"])
     duties = truncated(F.col("atividades"), limit)

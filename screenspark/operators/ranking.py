@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from screenspark import fixed_values as fixed
 from screenspark.functions.scalars import normalized_id, threshold_label
-from screenspark.names import col, cols, free_name
+from screenspark.names import col, cols, free_name, hashable
+from screenspark.session import parallelism
+
+# Beyond this many candidate rows per group a top-n is taken in two steps.
+MAX_GROUP_ROWS = 1_000_000
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str) -> DataFrame:
@@ -21,6 +25,12 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
     """
     if not 1 <= n <= fixed.TOP_K_MAX:
         raise ValueError(f"n must lie in 1..{fixed.TOP_K_MAX}")
+    partitions = parallelism(df.sparkSession)
+    if n * partitions > MAX_GROUP_ROWS:
+        # Many tasks times many rows could still meet in one task: cut slices of the group first.
+        salt = F.pmod(F.xxhash64(*cols(hashable(df))), F.lit(partitions))
+        sliced = F.row_number().over(Window.partitionBy(*cols(keys), salt).orderBy(*order))
+        df = df.withColumn(out, sliced).filter(col(out) <= n).drop(out)
     place = F.row_number().over(Window.partitionBy(*cols(keys)).orderBy(*order))
     return df.withColumn(out, place).filter(col(out) <= n)
 

@@ -160,10 +160,14 @@ def term_counts(words: Column) -> Column:
 
 def jaccard(left: Column, right: Column) -> Column:
     """Shared share of two token sets; 0 when either is empty."""
-    shared = F.size(F.array_intersect(left, right))
-    union = F.size(left) + F.size(right) - shared
-    empty = (F.size(left) == 0) | (F.size(right) == 0)
-    return F.when(empty, F.lit(0.0)).otherwise(shared / union)
+
+    def share(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        shared = F.size(F.array_intersect(a, b))
+        empty = (F.size(a) == 0) | (F.size(b) == 0)
+        return F.when(empty, F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
+
+    return let(F.struct(left.alias("a"), right.alias("b")), share)
 
 
 def skill_overlap(required: Column, offered: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from screenspark.functions.scalars import merged_maps
 from screenspark.names import col, cols, free_name, hashable
-from screenspark.session import parallelism
+from screenspark.session import broadcast_limit, parallelism, plan_bytes
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
@@ -42,10 +42,14 @@ def skew_join(
     Rows of a hot key on the ``many`` side are dealt out over its slices by a
     hash of the row, and the matching ``one`` rows are copied once per
     slice; the copies add up to at most two rows per shuffle partition for a
-    unique key. Rows without a key cannot match and are dealt out as well.
+    unique key. Rows without a key cannot match and are dealt out as well. When
+    Spark's estimate of ``one`` is within its broadcast limit the plain join does
+    not shuffle ``many`` at all, and no key can be hot.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
+    if plan_bytes(one) <= broadcast_limit(one.sparkSession):
+        return many.join(one, key, how)
     hot = hot_keys(many, key) if hot is None else hot
     partitions = parallelism(many.sparkSession)
     salt, slices = free_name(many, "salt"), "slices"

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from screenspark.functions.text import let, ngrams, plain_words, term_counts, tokens
 from screenspark.names import col
 from screenspark.operators.joins import hot_keys, skew_join
+from screenspark.session import plan_bytes
 
 # More terms than this are refused: the vocabulary must stay fit to broadcast.
 MAX_VOCABULARY = 200_000
+# Spark's default input split.
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -56,12 +59,8 @@ def spread_if_small(df: DataFrame) -> DataFrame:
     A small file is one split however many cores there are. Inputs that fill a
     default split per core are left as they are, without a shuffle.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * 128 * 1024 * 1024:
-        return df
-    return df.repartition(cores)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if plan_bytes(df) >= cores * SPLIT_BYTES else df.repartition(cores)
 
 
 def corpus(pairs: DataFrame, candidates: DataFrame, jobs: DataFrame, job: str, candidate: str) -> DataFrame:

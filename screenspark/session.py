@@ -63,3 +63,13 @@ def settled(df: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of a table, the one its join choice goes by."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes up to which Spark broadcasts a join side; negative when it never does."""
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())

@@ -35,7 +35,7 @@ def test_joined_columns_of_the_three_bases(spark):
     assert (row.titulo, row.modalidade, row.nome) == ("Dev II", "remoto", "Ana")
 
 
-def test_jobs_without_prospects_and_unknown_applicants_stay(spark):
+def test_jobs_without_prospects_and_unknown_applicants_stay(spark, no_broadcast):
     jobs = spark.createDataFrame([("1", "a"), ("2", "b")], "codigo_vaga string, titulo string")
     links = spark.createDataFrame(
         [("1", "t", "x"), ("1", "t", None), ("9", "t", "x")],
@@ -49,8 +49,22 @@ def test_jobs_without_prospects_and_unknown_applicants_stay(spark):
     )
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_small_side_is_joined_without_salt(spark):
+    many, one = spark.range(100).toDF("k"), spark.range(5).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    plan = joins.skew_join(many, one, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "salt" not in plan
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_skew_join_equals_a_plain_join(spark, how):
+def test_skew_join_equals_a_plain_join(spark, no_broadcast, how):
     rng = random.Random(3)
     # One key holds a third of the rows, some rows have no key, some keys no partner.
     keys = [0] * 400 + [rng.randrange(1, 60) for _ in range(700)] + [None] * 100
@@ -73,7 +87,7 @@ def test_hot_key_is_spread_over_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_left_join_many_equals_a_plain_left_join(spark):
+def test_left_join_many_equals_a_plain_left_join(spark, no_broadcast):
     one = spark.createDataFrame([(k, f"o{k}") for k in range(20)], "k int, o string")
     many = spark.createDataFrame([(0, i) for i in range(200)] + [(i % 15, i) for i in range(300)] + [(None, 1)], "k int, m int")
     got = sorted(map(str, joins.left_join_many(one, many, "k").collect()))

@@ -55,7 +55,9 @@ def brute_force(pairs, cands, jobs, size, low, high):
     }
 
 
-def test_similarity_equals_brute_force_with_a_hot_job(spark):
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_similarity_equals_brute_force_with_a_hot_job(spark, limit):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     rng = random.Random(8)
     words = [f"{a}{b}" for a in "bcdfg" for b in "klmnp"]
     words = [w for w in words if w not in stop_words()]
@@ -68,6 +70,7 @@ def test_similarity_equals_brute_force_with_a_hot_job(spark):
     got = tfidf.similarity(
         spark.createDataFrame(pairs, "c int, j int"), frame(cands, "c"), frame(jobs, "j"), "j", "c", spec
     ).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
     want = brute_force(pairs, cands, jobs, 15, 3, 0.9)
     assert len(got) == len(want)
     for r in got:

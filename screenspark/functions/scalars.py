@@ -40,10 +40,18 @@ def hiring_target(outcome: Column) -> Column:
 
 
 def normalized_id(value: Column) -> Column:
-    """Id as text without the ``.0`` a float round trip leaves; none-like ids are empty."""
+    """Id as text without the ``.0`` a float round trip leaves; none-like ids are empty.
+
+    Spark writes large doubles as ``1.1225E7``; those become whole numbers again.
+    """
     text = stripped(F.coalesce(value.cast("string"), F.lit("")))
     missing = F.lower(text).isin("nan", "none")
-    return F.when(missing, F.lit("")).otherwise(F.regexp_replace(text, "\\.0$", ""))
+    whole = text.try_cast("decimal(38,0)").cast("string")
+    return (
+        F.when(missing, F.lit(""))
+        .when(text.rlike("\\A\\d\\.\\d+E\\d+\\z"), whole)
+        .otherwise(F.regexp_replace(text, "\\.0\\z", ""))
+    )
 
 
 def threshold_label(probability: Column, threshold: float = fixed.THRESHOLD) -> Column:
@@ -94,7 +102,7 @@ def coerced(
 
 
 # A whole or decimal number with an optional minus sign, nothing around it.
-NUMBER_PATTERN = "^-?\\d+(\\.\\d+)?$"
+NUMBER_PATTERN = "\\A-?\\d+(\\.\\d+)?\\z"
 
 
 def coerced_by_content(df: DataFrame, categories: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:

@@ -188,12 +188,12 @@ def truncated(text: Column, limit: int) -> Column:
     return F.when(F.char_length(whole) > limit, cut).otherwise(whole)
 
 
-# Blank characters as a regular expression, ends of the text only.
-_BLANK_ENDS = "^\\s+|\\s+$"
+# Every Unicode blank and the ASCII separators.
+_BLANK = "[\\s\\x1c-\\x1f\\x85\\p{Z}]+"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, _BLANK_ENDS, "")
+    return F.regexp_replace(text, f"\\A{_BLANK}|{_BLANK}\\z", "")
 
 
 def json_block(text: Column) -> Column:

@@ -25,7 +25,9 @@ def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
 def tokenize(spark: SparkSession, folder: str) -> DataFrame:
     docs = tfidf.spread_if_small(frames.table(spark, folder, "documents"))
     counted = F.explode(text.term_counts(text.tokens(F.col("text"))))
-    return docs.select("doc_id", counted.alias("t")).select("doc_id", "t.term", "t.tf")
+    return docs.select("doc_id", counted.alias("t")).select(
+        "doc_id", "t.term", F.col("t.tf").cast("bigint").alias("tf")
+    )
 
 
 @query(

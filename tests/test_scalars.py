@@ -31,10 +31,11 @@ def test_stage_outcome(spark, status, outcome):
 
 
 def test_normalized_id(spark):
-    rows = [(" 123.0 ", "123"), ("nan", ""), ("None", ""), (None, ""), ("a.0b", "a.0b"), ("12.50", "12.50")]
+    rows = [(" 123.0 ", "123"), ("nan", ""), ("None", ""), (None, ""), ("a.0b", "a.0b"), ("12.50", "12.50"), ("\u00a0x\u2003", "x")]
     df = spark.createDataFrame(rows, "i string, want string")
     assert df.filter(S.normalized_id(F.col("i")) != F.col("want")).count() == 0
-    assert spark.createDataFrame([(7.0,)], "x double").select(S.normalized_id(F.col("x"))).first()[0] == "7"
+    floats = spark.createDataFrame([(7.0,), (11225000.0,), (1e9,)], "x double").select(S.normalized_id(F.col("x")))
+    assert [r[0] for r in floats.collect()] == ["7", "11225000", "1000000000"]
 
 
 def test_merged_maps_let_the_candidate_win_even_with_null(spark):
@@ -63,11 +64,12 @@ def test_coercion(spark):
 
 
 def test_coercion_by_content(spark):
-    rows = [("10", "1", "-2.5", None), (None, "x", "3", None)]
-    df = spark.createDataFrame(rows, "idade string, misto string, nota string, nada string")
+    rows = [("10", "1", "-2.5", None, "1"), (None, "x", "3", None, "2\n")]
+    df = spark.createDataFrame(rows, "idade string, misto string, nota string, nada string, linha string")
     out = S.coerced_by_content(df)
-    assert dict(out.dtypes) == {"idade": "double", "misto": "string", "nota": "double", "nada": "string"}
-    assert [tuple(r) for r in out.collect()] == [(10.0, "1", -2.5, ""), (None, "x", 3.0, "")]
+    kinds = {"idade": "double", "misto": "string", "nota": "double", "nada": "string", "linha": "string"}
+    assert dict(out.dtypes) == kinds
+    assert [tuple(r) for r in out.collect()] == [(10.0, "1", -2.5, "", "1"), (None, "x", 3.0, "", "2\n")]
     declared = S.coerced_by_content(df, categories=["idade"])
     assert [r.idade for r in declared.collect()] == ["10", ""]
 

@@ -80,17 +80,24 @@ SQL_APPLICATIONS = """apps AS (
   SELECT d.*, d.doc_id % (SELECT count(*) FROM benchmark) AS item_id FROM documents d)"""
 
 
+def length_score() -> Column:
+    """Document length in steps of 40 characters as a score from 0 to 1."""
+    return F.floor(F.least(F.col("n_chars"), F.lit(4000)) / 40) / 100.0
+
+
+SQL_LENGTH_SCORE = "floor(least(n_chars, 4000) / 40.0::DOUBLE) / 100.0::DOUBLE"
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents with a length score that has many ties."""
-    score = F.round(F.least(F.col("n_chars"), F.lit(4000)) / 4000.0, 2)
-    docs = table(spark, folder, "documents").select("doc_id", score.alias("score"))
+    docs = table(spark, folder, "documents").select("doc_id", length_score().alias("score"))
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("y_true"))
     return labels.join(docs, "doc_id").withColumn("y_pred", (F.col("score") >= 0.3).cast("int"))
 
 
-SQL_SCORED = """scored AS (
-  SELECT l.doc_id, l.quality AS y_true, round(least(d.n_chars, 4000) / 4000.0::DOUBLE, 2) AS score,
-         CASE WHEN round(least(d.n_chars, 4000) / 4000.0::DOUBLE, 2) >= 0.3::DOUBLE THEN 1 ELSE 0 END AS y_pred
+SQL_SCORED = f"""scored AS (
+  SELECT l.doc_id, l.quality AS y_true, {SQL_LENGTH_SCORE} AS score,
+         CASE WHEN {SQL_LENGTH_SCORE} >= 0.3::DOUBLE THEN 1 ELSE 0 END AS y_pred
   FROM labels l JOIN documents d USING (doc_id))"""
 
 

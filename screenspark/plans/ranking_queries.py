@@ -14,12 +14,12 @@ from screenspark.plans.registry import query
 
 
 def _scored_applications(spark: SparkSession, folder: str) -> DataFrame:
-    score = F.round(F.least(F.col("n_chars"), F.lit(4000)) / 4000.0, 2)
-    return frames.applications(spark, folder).select("doc_id", "item_id", "lang", score.alias("score"))
+    score = frames.length_score().alias("score")
+    return frames.applications(spark, folder).select("doc_id", "item_id", "lang", score)
 
 
 SQL_SCORED_APPS = f"""{frames.SQL_APPLICATIONS}, sapps AS (
-  SELECT doc_id, item_id, lang, round(least(n_chars, 4000) / 4000.0::DOUBLE, 2) AS score FROM apps)"""
+  SELECT doc_id, item_id, lang, {frames.SQL_LENGTH_SCORE} AS score FROM apps)"""
 
 
 @query(

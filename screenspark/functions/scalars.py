@@ -95,7 +95,7 @@ def coerced(
 
     def typed(name: str) -> Column:
         if name in numbers:
-            return F.expr(f"try_cast(`{name}` as double)")
+            return col(name).try_cast("double")
         return as_text(col(name)) if name in declared else col(name)
 
     return df.select(*[typed(c).alias(c) for c in df.columns])

@@ -341,3 +341,44 @@ def standard_scale(
         return (col(name) - F.lit(mean if with_mean else 0.0)) / F.lit(deviation)
 
     return df.withColumns({n: scaled(n) for n in names})
+
+
+class NumberPreparation(Estimator, HasInputCols, _Stage):
+    """Learns medians for missing numbers and, if asked, population deviations to divide by."""
+
+    scale = Param(Params._dummy(), "scale", "divide by the deviation", TypeConverters.toBoolean)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, scale=False):
+        super().__init__()
+        self._setDefault(inputCols=[], scale=False)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> NumberPreparationModel:
+        names = self.getInputCols()
+        middle = medians(df, names)
+        spread = scaling(impute_medians(df, names, middle), names) if self.getOrDefault(self.scale) else {}
+        return NumberPreparationModel(
+            inputCols=names,
+            medians=[middle.get(n, 0.0) for n in names],
+            divisors=[spread[n][1] if n in spread else 1.0 for n in names],
+        )
+
+
+class NumberPreparationModel(Model, HasInputCols, _Stage):
+    medians = Param(Params._dummy(), "medians", "value for missing numbers", TypeConverters.toListFloat)
+    divisors = Param(Params._dummy(), "divisors", "scale of each column", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, medians=None, divisors=None):
+        super().__init__()
+        self._setDefault(inputCols=[])
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        fitted = zip(
+            self.getInputCols(), self.getOrDefault(self.medians), self.getOrDefault(self.divisors), strict=True
+        )
+        return df.withColumns(
+            {n: F.coalesce(col(n).cast("double"), F.lit(m)) / F.lit(d) for n, m, d in fitted}
+        )

@@ -31,9 +31,7 @@ def predict(
     notes = schema_warnings(col(features), inputs, warnings)
     numbers = set(model.columns.numbers)
     given = [
-        F.expr(f"cast(coalesce(try_cast(try_element_at(`{features}`, '{c}') as double), 0) as double)").alias(c)
-        if c in numbers
-        else column
+        F.coalesce(column.try_cast("double"), F.lit(0.0)).alias(c) if c in numbers else column
         for c, column in zip(inputs, align_map(col(features), inputs), strict=True)
     ]
     wide = df.select(

@@ -176,6 +176,27 @@ def test_imputation_and_scaling(spark):
     assert {s[1] for s in scaled} == {0.0}
 
 
+def test_numbers_are_imputed_scaled_and_predicted(spark):
+    spec = models.FeatureColumns(
+        categories=(), texts=("cv_pt",), numbers=("n.ota", "vazia"), scale_numbers=True,
+        job_text="cv_pt", candidate_text="cv_pt",
+    )
+    nota = F.when(F.col("rid") % 4 != 0, F.col("rid").cast("double"))
+    df = people(spark).withColumns({"n.ota": nota, "vazia": F.lit(None).cast("double")})
+    features = models.fit_features(with_ml_names(df), spec)
+    prepared = next(s for s in features.stages if isinstance(s, encode.NumberPreparationModel))
+    values = np.array([i for i in range(120) if i % 4])
+    middle = np.median(values)
+    whole = np.array([i if i % 4 else middle for i in range(120)])
+    assert prepared.getOrDefault("medians") == [middle, 0.0]
+    assert prepared.getOrDefault("divisors") == pytest.approx([whole.std(), 1.0])
+    estimator = models.logistic_regression(96)
+    model, holdout = models.train(df, "target_triagem", "codigo_vaga", spec, estimator, "balanced")
+    assert holdout.count() == 24
+    maps = df.select("rid", F.create_map(F.lit("n.ota"), F.lit("x"), F.lit("cv_pt"), F.col("cv_pt")).alias("features"))
+    assert scoring.predict(maps, model).count() == 120
+
+
 def test_too_many_categories_are_refused(spark, monkeypatch):
     monkeypatch.setattr(models, "MAX_CATEGORIES", 2)
     with pytest.raises(ValueError, match="rid"):

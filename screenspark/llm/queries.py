@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenspark.llm import exact_dedup, mixing, ngram_lm, substring_dedup
+from screenspark.llm import exact_dedup, mixing, ngram_lm, simhash, substring_dedup
 from screenspark.plans.frames import table
 from screenspark.plans.registry import query
 
@@ -38,3 +38,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 )
 def exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"), keep="largest")
+
+
+@query("op6_simhash")
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_groups(table(spark, folder, "documents"))

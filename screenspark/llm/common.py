@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A word is a maximal run of anything but ASCII white space. bytes.split() cuts at the same six bytes.
@@ -109,3 +109,21 @@ def bucket_cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Where each of the 2**bits buckets begins in ascending hashes; one more entry for the end."""
     firsts = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     return np.concatenate(([0], np.searchsorted(hashes, firsts), [len(hashes)]))
+
+
+def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str], size: str, name: str) -> DataFrame:
+    """``name``: the sum of ``size`` up to and including each row, in the order of ``bucket`` and then ``order``.
+
+    Exact inside each bucket and shifted by the sums of the buckets before it, so
+    no window spans a key. ``bucket`` must ascend with ``order``.
+    """
+    totals = df.groupBy(*keys, bucket).agg(F.sum(size).alias("in_range"))
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(
+        *[F.col(k).alias(f"s_{k}") for k in [*keys, bucket]],
+        F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("shift"),
+    )
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    match = [F.col(k) == F.col(f"s_{k}") for k in [*keys, bucket]]
+    summed = df.withColumn("so_far", F.sum(size).over(inside)).join(shifts, match)
+    return summed.withColumn(name, F.col("shift") + F.col("so_far")).select(*df.columns, name)

@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenspark.llm.common import WORD, written
+from screenspark.llm.common import WORD, running_total, written
 
 WEIGHTS, SHARE, MAX_REPEATS, SEED = (3, 1, 2), 1.5, 2, 7
 RANGES = 4096
@@ -72,20 +72,6 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, max_r
     return found.select("source", "source_size", "nth", "budget", target.alias("target"))
 
 
-def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str], size: str, name: str) -> DataFrame:
-    """``name``: words up to and including each row, in the order of ``bucket`` and then ``order``."""
-    totals = df.groupBy(*keys, bucket).agg(F.sum(size).alias("in_range"))
-    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select(
-        *[F.col(k).alias(f"s_{k}") for k in [*keys, bucket]],
-        F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("shift"),
-    )
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    match = [F.col(k) == F.col(f"s_{k}") for k in [*keys, bucket]]
-    summed = df.withColumn("so_far", F.sum(size).over(inside)).join(shifts, match)
-    return summed.withColumn(name, F.col("shift") + F.col("so_far")).select(*df.columns, name)
-
-
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenspark.llm import exact_dedup, mixing, ngram_lm, simhash, substring_dedup
+from screenspark.llm import edit_fingerprint, exact_dedup, language_id, line_dedup, mixing, ngram_lm, simhash, substring_dedup
+from screenspark.llm.common import written
 from screenspark.plans.frames import table
 from screenspark.plans.registry import query
 
@@ -43,3 +44,25 @@ def exact(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_simhash")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
+
+
+@query("op8_language_id")
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    held = language_id.held_out(F.col("doc_id"))
+    found = language_id.identify(table(spark, folder, "documents"), ~held)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_edit_fingerprint")
+def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    rows = written(edit_fingerprint.fingerprint_documents(table(spark, folder, "documents")))
+    return rows.join(written(edit_fingerprint.near_groups(rows)), "fingerprint")
+
+
+@query("op1_line_dedup", line_dedup.SQL)
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
+    docs = docs.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+    kept = line_dedup.remove_repeated_lines(docs)
+    return kept.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))

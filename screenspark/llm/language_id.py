@@ -24,11 +24,13 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from screenspark.llm.common import remainder
 
@@ -154,26 +156,29 @@ def prototypes(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, np.nd
     return out
 
 
+def _scored(texts: list[str], names: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
+    found = profiles(texts)
+    norm = np.sqrt((found**2).sum(axis=1))
+    if not names:
+        return [UNKNOWN] * len(texts), [0.0] * len(texts)
+    cosine = (found @ matrix.T) / np.where(norm > 0, norm, 1)[:, None]
+    best = cosine.argmax(axis=1)
+    score = np.where(norm > 0, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0)
+    return [names[b] if n > 0 else UNKNOWN for b, n in zip(best, norm)], score.tolist()
+
+
 def _predicted(model):
     def predict(tables):
         names, matrix = model.value
         for table in tables:
-            for rows in _blocks([table], "text", "doc_id"):
-                found = profiles([t or "" for t, _ in rows])
-                norm = np.sqrt((found**2).sum(axis=1))
-                if names:
-                    cosine = (found @ matrix.T) / np.where(norm > 0, norm, 1)[:, None]
-                    best = cosine.argmax(axis=1)
-                    score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
-                known = (norm > 0) & bool(names)
-                lang = [names[best[i]] if k else UNKNOWN for i, k in enumerate(known)]
-                yield pa.record_batch(
-                    {
-                        "doc_id": pa.array([i for _, i in rows], table["doc_id"].type),
-                        "lang_pred": pa.array(lang),
-                        "score": pa.array([float(score[i]) if k else 0.0 for i, k in enumerate(known)]),
-                    }
-                )
+            lang, score = [], []
+            for rows in _blocks([table], "__text"):
+                found = _scored([t or "" for (t,) in rows], names, matrix)
+                lang += found[0]
+                score += found[1]
+            kept = [c for c in table.schema.names if c != "__text"]
+            columns = [*(table[c] for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+            yield pa.record_batch(columns, names=[*kept, "lang_pred", "score"])
 
     return predict
 
@@ -181,18 +186,22 @@ def _predicted(model):
 def identify(
     docs: DataFrame,
     training: Column,
-    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    keep: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
-    """Learn from the rows where ``training`` holds; one row per input row: ``doc_id, lang_pred, score``."""
+    """Learn from the rows where ``training`` holds; one row per input row: the columns ``keep``, ``lang_pred, score``.
+
+    Columns of ``keep`` that are named like the two results are replaced.
+    """
     learned = prototypes(docs.filter(training), text_col, lang_col)
     names = sorted(learned)
     unit = [learned[n] / max(np.sqrt((learned[n] ** 2).sum()), 1e-9) for n in names]
     model = docs.sparkSession.sparkContext.broadcast((names, np.array(unit)))
-    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_predicted(model), f"doc_id {kind}, lang_pred string, score double")
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep if c not in ("lang_pred", "score")])
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(text_col).alias("__text"))
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(_predicted(model), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -82,8 +82,11 @@ def mix(
     max_repeats: int = MAX_REPEATS,
     seed: int = SEED,
     ranges: int = RANGES,
+    key_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, source, size, source_size, target, copies, taken``.
+    """One row per input row: ``doc_id, key, source, size, source_size, target, copies, taken``.
+
+    ``key`` is ``key_col`` handed through.
 
     ``copies`` says how often the mix takes the document, ``taken`` how many words that is.
     """
@@ -94,11 +97,13 @@ def mix(
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             digest.alias("place"),
+            (F.lit(None).cast("long") if key_col is None else F.col(key_col)).alias("key"),
         )
     )
     targets = written(source_targets(sizes, weights, share, max_repeats))
     queued = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(
         "doc_id",
+        "key",
         sizes["source"],
         "nth",
         "size",
@@ -109,7 +114,7 @@ def mix(
         (F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * ranges / (1 << 32)).cast("long").alias("part"),
     )
     # Numbers from here on: rows that repeat an id and a size are the same row to the mix.
-    placed = written(running_total(queued, ["nth"], "part", ["place", "doc_id", "size"], "size", "so_far_once"))
+    placed = written(running_total(queued, ["nth"], "part", ["place", "doc_id", "size", "key"], "size", "so_far_once"))
 
     def finish(turn: Column) -> Column:
         return (F.col("so_far_once") + turn * F.col("source_size")) / F.col("target")
@@ -132,11 +137,26 @@ def mix(
         placed.withColumn("last", last)
         .withColumn("copies", F.coalesce(copies, F.lit(0)))
         .select(
-            "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+            "doc_id", "key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
         )
     )
 
 
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it is taken, rows that are not taken left out."""
+    key = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("__key")
+    taken = mix(docs.select("*", key), id_col, text_col, source_col, key_col="__key", **options)
+    # Rows that repeat all three columns share what the mix takes of them.
+    shares = written(taken.groupBy(F.col("key").alias("__k")).agg(F.sum("copies").alias("__all"), F.count("*").alias("__rows")))
+    joined = docs.select("*", key).join(shares.filter("__all > 0"), F.col("__key") == F.col("__k"))
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    own = F.floor((F.col("__all") + F.col("__rows") - nth) / F.col("__rows"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    counted = joined.withColumn("__n", own).filter("__n > 0")
+    return counted.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*names)
+
+
 SQL = f"""
 WITH s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenspark.llm import edit_fingerprint, exact_dedup, language_id, line_dedup, mixing, ngram_lm, simhash, substring_dedup
+from screenspark.llm import edit_fingerprint, exact_dedup, language_id, line_dedup, mixing, ngram_lm, pieces, simhash, substring_dedup, warc
 from screenspark.llm.common import written
 from screenspark.plans.frames import table
 from screenspark.plans.registry import query
@@ -66,3 +66,25 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     docs = docs.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     kept = line_dedup.remove_repeated_lines(docs)
     return kept.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op3_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+         list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+         max(page_id) OVER (PARTITION BY html) AS best FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to FROM b""",
+)
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query("op2_sentencepiece")
+def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    found = pieces.decode(pieces.encode(table(spark, folder, "documents")))
+    return found.select("doc_id", F.size("ids").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))

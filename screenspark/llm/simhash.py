@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenspark.llm.common import partitions, written
@@ -68,16 +68,23 @@ def _fingerprints(shingle: int):
     def run(tables):
         for t in tables:
             found = np.array([fingerprint(x, shingle) for x in t["text"].to_pylist()], np.uint64)
-            yield pa.record_batch({"id": t["id"], "fp": pa.array(found.view(np.int64))})
+            columns = [t["id"], t["row_key"], pa.array(found.view(np.int64))]
+            yield pa.record_batch(columns, names=["id", "row_key", "fp"])
 
     return run
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart by id and text; rows that repeat both share it."""
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """``(id, fp)``; the 64 bits are held in a signed long."""
+    """``(id, row_key, fp)``; the 64 bits are held in a signed long."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "id long, fp long")
+    key = row_key(id_col, text_col).alias("row_key")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), key, text.alias("text"))
+    return rows.mapInArrow(_fingerprints(shingle), "id long, row_key long, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -264,15 +271,33 @@ def near_groups(
     max_bits: int = MAX_BITS,
     group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable)."""
+    """One row per input row.
+
+    ``doc_id, fingerprint`` (16 hex digits), ``component_id`` (smallest id
+    reachable), ``class_fp`` (one fingerprint of the component) and ``row_key``.
+    """
     rows = written(fingerprints(docs, id_col, text_col, shingle))
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least")))
     root = stars(near_links(nodes.select("fp"), max_bits, group_limit))
     placed = nodes.join(root, F.col("fp") == F.col("a"), "left").select(
-        "fp", "least", F.coalesce("b", "fp").alias("root")
+        "fp", "least", F.coalesce("b", "fp").alias("class_fp")
     )
-    heads = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(placed.join(heads, "root").select(F.col("fp").alias("node"), "component_id"))
+    heads = placed.groupBy("class_fp").agg(F.min("least").alias("component_id"))
+    named = written(placed.join(heads, "class_fp").select(F.col("fp").alias("node"), "component_id", "class_fp"))
     return rows.join(named, F.col("fp") == F.col("node")).select(
-        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+        "class_fp",
+        "row_key",
     )
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id (by hash of its text, if rows repeat the id)."""
+    groups = near_groups(docs, id_col, text_col, **options)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("class_fp")
+    keep = written(first.agg(F.min("row_key").alias("__keep")).select("__keep").distinct())
+    keyed = docs.withColumn("__key", row_key(id_col, text_col)).join(keep, F.col("__key") == F.col("__keep"))
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return keyed.withColumn("__nth", nth).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

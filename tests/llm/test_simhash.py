@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from screenspark.llm import simhash
-from tests.llm.helpers import odd_schema_frame, random_docs
+from tests.llm.helpers import docs_frame, random_docs
 
 
 def slow_fingerprint(text):
@@ -33,7 +33,8 @@ def slow_components(nodes, max_bits):
 
 def test_groups_equal_brute_force(spark):
     rows = random_docs()
-    got = simhash.near_groups(odd_schema_frame(spark, rows)).collect()
+    groups = simhash.near_groups(docs_frame(spark, rows))
+    got = groups.select("doc_id", "fingerprint", "component_id").collect()
     fps = [slow_fingerprint(r[1]) for r in rows]
     root = slow_components(set(fps), 4)
     least = {}
@@ -70,5 +71,19 @@ def test_links_of_dense_balls_span_all_components(spark, limit):
     assert len(same) == len(set(want.values()))
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = random_docs()
+    docs = docs_frame(spark, rows)
+    got = simhash.one_per_group(docs)
+    assert got.columns == docs.columns
+    fps = [slow_fingerprint(r[1]) for r in rows]
+    root = slow_components(set(fps), 4)
+    least = {}
+    for r, f in zip(rows, fps):
+        least.setdefault(root[f], set()).add(r[0])
+    want = [min((i for i in ids if i is not None), default=None) for ids in least.values()]
+    assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_empty_table(spark):
-    assert simhash.near_groups(odd_schema_frame(spark, [])).collect() == []
+    assert simhash.near_groups(docs_frame(spark, [])).collect() == []

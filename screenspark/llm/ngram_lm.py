@@ -61,7 +61,7 @@ PAIR = np.uint64(0x9E3779B97F4A7C15)
 LEVEL_BASE = 1.5
 PROBES = 4
 BITS_PER_EVENT = 8
-MAX_FILTER_BITS = 1 << 30  # 128 MB
+MAX_FILTER_BITS = 96 << 23  # 96 MB
 BLOCK_BITS = 16  # log2 of the bits of a filter block: 8 KB
 BATCH_BYTES = 8 << 20
 
@@ -266,7 +266,8 @@ def train(counts: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> Model:
     n_blocks = max(16, min(max_filter_bits, events * BITS_PER_EVENT) >> BLOCK_BITS)
     per_block = counts.select("size", "hashes", "counts").mapInArrow(_filled(n_blocks, threshold), "block long, bits binary")
     view = np.zeros((n_blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
-    for r in per_block.collect():  # the filter, at most max_filter_bits and the few blocks two buckets share
+    # Filled in parallel, then fetched a partition at a time: at most max_filter_bits and the few shared blocks.
+    for r in written(per_block).toLocalIterator():
         view[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
     return Model(view.reshape(-1), n, int(hist[1].sum()), _growth(hist[1], int(hist[2].sum())))
 

@@ -298,15 +298,20 @@ def _banded(tables):
         yield pa.record_batch({"key": pa.array(np.array(keys, np.uint64).view(np.int64)), "node": pa.array(nodes, pa.int64())})
 
 
-def _finer(tables):
+def _finer(limit: int):
     """Too large bands are split by other digits of the fingerprint."""
-    for t in tables:
-        out = []
-        for key, n, node, fp in zip(*(t[c].to_pylist() for c in ("key", "n", "node", "fp"))):
-            keys = [key] if n <= BAND_LIMIT else [key ^ k for k in np.array(band_keys(fp, 4, 16), np.uint64).view(np.int64).tolist()]
-            out += [(k, node, fp) for k in keys]
-        columns = zip(*out) if out else [[]] * 3
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()))], names=["key", "node", "fp"])
+    kinds = (pa.int64(), pa.int64(), pa.string())
+
+    def split(tables):
+        for t in tables:
+            out = []
+            for key, n, node, fp in zip(*(t[c].to_pylist() for c in ("key", "n", "node", "fp"))):
+                finer = np.array(band_keys(fp, 4, 16), np.uint64).view(np.int64).tolist() if n > limit else [0]
+                out += [(key ^ k, node, fp) for k in finer]
+            columns = zip(*out) if out else [[]] * 3
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "node", "fp"])
+
+    return split
 
 
 def _matrix(fps: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +364,7 @@ def _linked(threshold: float):
     return link
 
 
-def near_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_groups(rows: DataFrame, threshold: float = THRESHOLD, band_limit: int = BAND_LIMIT) -> DataFrame:
     """``(fingerprint, group_id)``: the smallest id reachable over links, from rows with ``doc_id, fingerprint``."""
     spark = rows.sparkSession
     nodes = written(
@@ -370,7 +375,7 @@ def near_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keys = nodes.select("node", "fp").mapInArrow(_banded, "key long, node long")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = keys.join(sizes, "key").join(nodes.select("node", "fp"), "node").select("key", "n", "node", "fp")
-    split = met.mapInArrow(_finer, "key long, node long, fp string")
+    split = met.mapInArrow(_finer(band_limit), "key long, node long, fp string")
     grouped = split.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
     root = stars(grouped.mapInArrow(_linked(threshold), "a long, b long"))
     placed = nodes.join(root, F.col("node") == F.col("a"), "left").select(

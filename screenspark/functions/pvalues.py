@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 # Up to this many rows on either side the two-sample distribution is computed exactly.
 EXACT_ROWS = 10_000
+# Up to this size the law of one sample is computed exactly.
+EXACT_SIZE = 80
 
 
 def chi2_tail(stat: float, dof: int) -> float:
@@ -32,7 +35,7 @@ def chi2_tail(stat: float, dof: int) -> float:
     b = x + 1 - a
     c, d = 1 / tiny, 1 / b
     h = d
-    for i in range(1, 100_000):
+    for i in itertools.count(1):
         step = -i * (i - a)
         b += 2
         d = 1 / (step * d + b or tiny)
@@ -72,9 +75,41 @@ def ks_tail_exact(stat: float, n: int, m: int) -> float:
     return min(1.0, lost)
 
 
+def ks_tail_one_sample(stat: float, size: int) -> float:
+    """P(D >= stat) for one sample of ``size`` rows against a continuous law, exactly.
+
+    The probability of staying below is ``size! / size**size`` times an entry of a
+    matrix power; its rows are the places the empirical law can have inside the band.
+    """
+    if stat <= 0:
+        return 1.0
+    if stat >= 1:
+        return 0.0
+    k = math.ceil(size * stat)
+    h, m = k - size * stat, 2 * k - 1
+    steps = np.subtract.outer(np.arange(m), np.arange(m)) + 1
+    band = np.where(steps >= 0, 1.0, 0.0)
+    corner = h ** np.arange(1, m + 1)
+    band[:, 0] -= corner
+    band[-1, :] -= corner[::-1]
+    band[-1, 0] += max(0.0, 2 * h - 1) ** m
+    factorials = np.array([math.factorial(max(0, s)) for s in range(m + 1)], float)
+    band /= factorials[np.maximum(steps, 0)]
+    below, power = np.eye(m), band
+    for i in range(1, size + 1):  # size! / size**size is spread over the factors
+        below = below @ power * (i / size)
+    return min(1.0, max(0.0, 1.0 - float(below[k - 1, k - 1])))
+
+
 def ks_tail_large(stat: float, n: int, m: int) -> float:
-    """P(D >= stat) by the four-term large-sample expansion of Pelz and Good."""
+    """P(D >= stat) for large samples: the law of one sample of n m / (n + m) rows.
+
+    Exact while that size is at most ``EXACT_SIZE``, else by the four-term
+    expansion of Pelz and Good.
+    """
     size = round(n * m / (n + m))
+    if size <= EXACT_SIZE:
+        return ks_tail_one_sample(stat, size)
     z = stat * math.sqrt(size)
     if z <= 0:
         return 1.0

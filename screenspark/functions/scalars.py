@@ -63,9 +63,28 @@ def as_text(value: Column) -> Column:
 
 
 def merged_maps(base: Column, override: Column) -> Column:
-    """Entries of both maps; on shared keys ``override`` wins, even with a null value."""
-    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(override, k))
-    return F.map_concat(kept, override)
+    """Entries of both maps; on shared keys ``override`` wins, even with a null value.
+
+    A null map counts as empty.
+    """
+    none = F.create_map().cast("map<string,string>")
+    first, second = F.coalesce(base, none), F.coalesce(override, none)
+    kept = F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k))
+    return F.map_concat(kept, second)
+
+
+# What reads as a number: sign, digits with or without a point, exponent, outer blanks.
+READABLE_NUMBER = r"\A\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"
+
+
+def read_number(text: Column) -> Column:
+    """Text as a double; null where it is not a plain number (``10d`` and ``nan`` are none)."""
+    return F.when(text.rlike(READABLE_NUMBER), F.trim(text).try_cast("double"))
+
+
+def known_number(value: Column) -> Column:
+    """A number as double with NaN as null: both mean that it is missing."""
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
 
 
 def input_signature(features: Column) -> Column:
@@ -92,15 +111,18 @@ def coerced(
     """Declared numbers become doubles (null where unreadable), declared categories
     and texts become strings without nulls; absent columns are ignored."""
     declared = set(categories) | set(texts)
+    kinds = dict(df.dtypes)
 
     def typed(name: str) -> Column:
         if name in numbers:
-            return col(name).try_cast("double")
+            return read_number(col(name)) if kinds[name] == "string" else known_number(col(name))
         return as_text(col(name)) if name in declared else col(name)
 
     return df.select(*[typed(c).alias(c) for c in df.columns])
 
 
+# Fixed value: the prefix of job profile fields.
+JOB_PROFILE = "perfil_vaga."
 # A whole or decimal number with an optional minus sign, nothing around it.
 NUMBER_PATTERN = "\\A-?\\d+(\\.\\d+)?\\z"
 
@@ -143,8 +165,11 @@ def filled(df: DataFrame, texts: Sequence[str] = ()) -> DataFrame:
 
 
 def compact_json(df: DataFrame, names: Sequence[str]) -> Column:
-    """JSON object of the named columns: nulls left out, numbers as doubles, rest as text."""
-    kinds = dict(df.dtypes)
+    """JSON object of the named columns: nulls left out, numbers as doubles, rest as text.
+
+    Fields of the job profile are always text, also where a reader found numbers.
+    """
+    kinds = {c: "string" if c.startswith(JOB_PROFILE) else k for c, k in df.dtypes}
     number = ("double", "float", "int", "bigint", "smallint", "tinyint")
     return F.to_json(
         F.struct(

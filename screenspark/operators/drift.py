@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from screenspark import fixed_values as fixed
 from screenspark.functions.pvalues import drift_p_value
+from screenspark.functions.scalars import known_number
 from screenspark.names import col, cols
 from screenspark.operators.joins import aligned_counts
 from screenspark.operators.prefix import running_totals
-from screenspark.operators.profile import is_numeric, value_key
+from screenspark.operators.profile import is_numeric, value_key, value_texts
 
 EMPTY = "feature string, statistic double, dof int"
 
@@ -42,7 +43,7 @@ def chi_square(ref: DataFrame, prod: DataFrame, names: Sequence[str]) -> DataFra
     A value the reference never has is divided by 1 instead of its expected 0.
     Columns without any value on one side give no row.
     """
-    counts = aligned_counts(ref, prod, names, value_key)
+    counts = aligned_counts(value_texts(ref, names), value_texts(prod, names), names, value_key)
     totals = counts.groupBy(F.col("feature").alias("total_feature")).agg(
         F.sum("ref_c").alias("ref_n"), F.sum("prod_c").alias("prod_n")
     )
@@ -66,7 +67,7 @@ def kolmogorov_smirnov(ref: DataFrame, prod: DataFrame, names: Sequence[str]) ->
     """Largest gap of the two empirical distributions, per column."""
 
     def long(df: DataFrame, is_ref: int) -> DataFrame:
-        numbers = df.select(*[col(n).cast("double").alias(n) for n in names])
+        numbers = df.select(*[known_number(col(n)).alias(n) for n in names])
         return numbers.unpivot([], cols(names), "feature", "value").withColumn("is_ref", F.lit(is_ref))
 
     both = long(ref, 1).unionByName(long(prod, 0)).filter("value is not null")
@@ -86,7 +87,7 @@ def kolmogorov_smirnov(ref: DataFrame, prod: DataFrame, names: Sequence[str]) ->
 
 
 def _value_numbers(df: DataFrame, names: Sequence[str], out: str) -> DataFrame:
-    counts = df.agg(*[F.count(col(n)).alias(n) for n in names])
+    counts = value_texts(df, names).agg(*[F.count(col(n)).alias(n) for n in names])
     return counts.unpivot([], cols(names), "feature", out)
 
 

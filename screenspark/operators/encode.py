@@ -7,11 +7,12 @@ stages save and load with the pipeline. Transforming a row needs no shuffle.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol
@@ -19,7 +20,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenspark.functions.scalars import as_text, level_match
+from screenspark.functions.scalars import as_text, known_number, level_match
 from screenspark.functions.text import join_texts, ngrams, plain_words, skill_overlap, tokens
 from screenspark.names import col, cols, free_name
 from screenspark.operators.prefix import quantiles
@@ -165,8 +166,6 @@ class _TermsParams(Params):
         known = self.getOrDefault(self.terms)
         if not known:
             zero = F.array_repeat(F.lit(0.0), 1)
-            from pyspark.ml.functions import array_to_vector
-
             return df.withColumns({out: array_to_vector(zero) for out in texts})
         counter = CountVectorizerModel.from_vocabulary(known, inputCol="_words", outputCol="_counts")
         scale = ElementwiseProduct(
@@ -294,7 +293,7 @@ def medians(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
 def impute_medians(df: DataFrame, names: Sequence[str], fitted: Mapping[str, float] | None = None) -> DataFrame:
     known = medians(df, names) if fitted is None else fitted
     return df.withColumns(
-        {n: F.coalesce(col(n).cast("double"), F.lit(known[n])) for n in names if n in known}
+        {n: F.coalesce(known_number(col(n)), F.lit(known[n])) for n in names if n in known}
     )
 
 
@@ -322,8 +321,8 @@ def impute_modes(df: DataFrame, names: Sequence[str], fitted: Mapping[str, str]
 
 def scaling(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation per column; 1 for a constant one."""
-    parts = [F.avg(col(n)).alias(f"m_{i}") for i, n in enumerate(names)]
-    parts += [F.stddev_pop(col(n)).alias(f"s_{i}") for i, n in enumerate(names)]
+    parts = [F.avg(known_number(col(n))).alias(f"m_{i}") for i, n in enumerate(names)]
+    parts += [F.stddev_pop(known_number(col(n))).alias(f"s_{i}") for i, n in enumerate(names)]
     row = df.agg(*parts).first()
     return {n: (row[f"m_{i}"] or 0.0, row[f"s_{i}"] or 1.0) for i, n in enumerate(names)}
 
@@ -338,11 +337,62 @@ def standard_scale(
 
     def scaled(name: str) -> Column:
         mean, deviation = known[name]
-        return (col(name) - F.lit(mean if with_mean else 0.0)) / F.lit(deviation)
+        return (known_number(col(name)) - F.lit(mean if with_mean else 0.0)) / F.lit(deviation)
 
     return df.withColumns({n: scaled(n) for n in names})
 
 
+class CategoryPreparation(Estimator, HasInputCols, _Stage):
+    """Learns the most frequent value of each column and fills missing ones with it."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None):
+        super().__init__()
+        self._setDefault(inputCols=[])
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> CategoryPreparationModel:
+        names = self.getInputCols()
+        found = modes(df, names)
+        return CategoryPreparationModel(inputCols=names, fills=[found.get(n, "") for n in names])
+
+
+class CategoryPreparationModel(Model, HasInputCols, _Stage):
+    fills = Param(Params._dummy(), "fills", "value for missing entries", TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, fills=None):
+        super().__init__()
+        self._setDefault(inputCols=[])
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        fitted = zip(self.getInputCols(), self.getOrDefault(self.fills), strict=True)
+        have = set(df.columns)
+        return df.withColumns(
+            {n: F.coalesce(col(n).cast("string") if n in have else F.lit(None), F.lit(v)) for n, v in fitted}
+        )
+
+
+class LinearScorer(Transformer, HasInputCols, HasOutputCol, _Stage):
+    """Probability vector from given coefficients: a logistic model that was not fitted here."""
+
+    weights = Param(Params._dummy(), "weights", "one coefficient per column", TypeConverters.toListFloat)
+    intercept = Param(Params._dummy(), "intercept", "value without any input", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCol="probability", weights=None, intercept=0.0):
+        super().__init__()
+        self._setDefault(outputCol="probability", intercept=0.0)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        pairs = zip(self.getInputCols(), self.getOrDefault(self.weights), strict=True)
+        margin = reduce(Column.__add__, [col(n) * w for n, w in pairs], F.lit(self.getOrDefault(self.intercept)))
+        one = 1 / (1 + F.exp(-margin))
+        return df.withColumn(self.getOutputCol(), array_to_vector(F.array(1 - one, one)))
+
+
 class NumberPreparation(Estimator, HasInputCols, _Stage):
     """Learns medians for missing numbers and, if asked, population deviations to divide by."""
 
@@ -380,5 +430,5 @@ class NumberPreparationModel(Model, HasInputCols, _Stage):
             self.getInputCols(), self.getOrDefault(self.medians), self.getOrDefault(self.divisors), strict=True
         )
         return df.withColumns(
-            {n: F.coalesce(col(n).cast("double"), F.lit(m)) / F.lit(d) for n, m, d in fitted}
+            {n: F.coalesce(known_number(col(n)), F.lit(m)) / F.lit(d) for n, m, d in fitted}
         )

@@ -136,8 +136,11 @@ def job_candidate_features(
     candidate_features: str,
     out: str = "features",
 ) -> DataFrame:
-    """Feature map of every (job, candidate) pair; the candidate's entry wins."""
-    joined = skew_join(pairs, jobs, key, "inner")
+    """Feature map of every (job, candidate) pair; the candidate's entry wins.
+
+    A pair whose job has no row keeps the candidate's fields alone.
+    """
+    joined = skew_join(pairs, jobs, key, "left")
     return joined.withColumn(out, merged_maps(col(job_features), col(candidate_features)))
 
 

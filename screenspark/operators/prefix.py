@@ -1,7 +1,7 @@
 """Running totals over a globally ordered column without a one-task window.
 
 The column is cut into ranges at quantiles of a sample. The cut points come back
-to the driver (a few hundred numbers per feature) and become constants, so every
+to the driver (one per shuffle partition and feature) and become constants, so every
 later reader of the table, also after a lost executor, sees the same ranges.
 Each range is summed on its own and shifted by the totals of the ranges before
 it. The cut points only balance the work; every row is summed, and the totals
@@ -15,17 +15,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from screenspark.functions.scalars import known_number
 from screenspark.names import col, cols
 from screenspark.session import parallelism
 
-# Ranges per feature; more would only lengthen the cut-point lookup.
-MAX_RANGES = 512
 # Share of the rows that is looked at to place the cut points.
 SAMPLE = 0.01
 
 
 def _cut_points(df: DataFrame) -> dict[str, list[float]]:
-    ranges = max(2, min(parallelism(df.sparkSession), MAX_RANGES))
+    ranges = max(2, parallelism(df.sparkSession))
     steps = F.lit([i / ranges for i in range(1, ranges)])
     found = (
         df.sample(SAMPLE, seed=1)
@@ -47,6 +46,18 @@ def _with_cuts(df: DataFrame, cuts: dict[str, list[float]], single: bool) -> Dat
     return joined.withColumn("cuts", F.coalesce("found", none))
 
 
+def _place(cuts: Column, value: Column) -> Column:
+    """How many cut points lie below a value: first among every n-th of them, then between two of those.
+
+    With one cut per shuffle partition that is twice the root of their number.
+    """
+    step = F.greatest(F.lit(1), F.floor(F.sqrt(F.size(cuts)))).cast("int")
+    coarse = F.filter(cuts, lambda c, i: (F.pmod(i + 1, step) == 0) & (c < value))
+    skipped = (F.size(coarse) * step).cast("int")
+    rest = F.slice(cuts, skipped + 1, step)
+    return skipped + F.size(F.filter(rest, lambda c: c < value))
+
+
 def running_totals(
     df: DataFrame,
     value: str,
@@ -73,7 +84,7 @@ def running_totals(
         "feature",
         "v",
         *weights,
-        F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"),
+        _place(F.col("cuts"), F.col("v")).alias("part"),
     )
     totals = ranged.groupBy("feature", "part").agg(*[F.sum(n).alias(n) for n in weights])
     # One row per feature and range: small by construction.
@@ -104,9 +115,9 @@ def running_totals(
 def quantiles(df: DataFrame, names: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per column, one column per share.
 
-    Non-null values only; a column without any gives no row.
+    Non-null values only (NaN counts as null); a column without any gives no row.
     """
-    numbers = df.select(*[col(n).cast("double").alias(n) for n in names])
+    numbers = df.select(*[known_number(col(n)).alias(n) for n in names])
     long = numbers.unpivot([], cols(names), "feature", "value").filter("value is not null")
     sums = running_totals(long, "value", {"n": F.lit(1)}, feature="feature")
     counts = long.groupBy("feature").agg(F.count("*").alias("total"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenspark import fixed_values as fixed
+from screenspark.functions.scalars import known_number
 from screenspark.names import col, cols
 from screenspark.operators.prefix import quantiles
 
@@ -76,7 +77,7 @@ def hire_rates(df: DataFrame, group: str, member: str, hired: Column) -> DataFra
 
 def describe(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, quartiles and max; one row per column."""
-    numbers = df.select(*[col(n).cast("double").alias(n) for n in names])
+    numbers = df.select(*[known_number(col(n)).alias(n) for n in names])
     moments = (
         numbers.unpivot([], cols(names), "feature", "value")
         .groupBy("feature")
@@ -88,13 +89,23 @@ def describe(df: DataFrame, names: Sequence[str]) -> DataFrame:
             F.max("value").alias("max"),
         )
     )
-    quarters = quantiles(df, names, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    quarters = quantiles(numbers, names, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return moments.join(F.broadcast(quarters), "feature", "left")
 
 
 def _long_form(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    texts = df.select(*[col(n).cast("string").alias(n) for n in names])
-    return texts.unpivot([], cols(names), "feature", "value")
+    return value_texts(df, names).unpivot([], cols(names), "feature", "value")
+
+
+def value_texts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The columns as text; NaN is missing and so null."""
+    kinds = dict(df.dtypes)
+
+    def text(name: str) -> Column:
+        value = F.nanvl(col(name), F.lit(None)) if kinds[name] in ("float", "double") else col(name)
+        return value.cast("string").alias(name)
+
+    return df.select(*[text(n) for n in names])
 
 
 def _value_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -258,7 +269,7 @@ def histogram(df: DataFrame, name: str, bins: int = 30) -> DataFrame:
 
     A constant column gets a range of one around its value.
     """
-    value = col(name).cast("double")
+    value = known_number(col(name))
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).select(
         F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),

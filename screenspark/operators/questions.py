@@ -86,12 +86,13 @@ def normalized_reply(
     """Common questions and questions per requested id from a free-text reply.
 
     ``requested`` is an array of ids. Unreadable replies and absent ids give
-    empty lists, ids nobody asked for are dropped, lists are cut to size.
+    empty lists, ids nobody asked for are dropped, lists are cut to size. An id
+    that is asked for twice is one entry, as are all missing ids.
     """
     data = F.from_json(json_block(F.coalesce(reply, F.lit(""))), REPLY_SCHEMA)
     none = F.array().cast("array<string>")
     common = F.slice(F.coalesce(data["common_questions"], none), 1, n_common)
-    ids = F.transform(requested, lambda i: F.coalesce(i, F.lit(fixed.NO_ID)))
+    ids = F.array_distinct(F.transform(requested, lambda i: F.coalesce(i, F.lit(fixed.NO_ID))))
     known = F.coalesce(data["per_candidate"], F.map_from_arrays(none, F.array().cast("array<array<string>>")))
     lists = F.transform(
         ids, lambda i: F.slice(F.coalesce(F.try_element_at(known, i), none), 1, n_each)

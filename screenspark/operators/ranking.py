@@ -12,25 +12,20 @@ from screenspark.functions.scalars import normalized_id, threshold_label
 from screenspark.names import col, cols, free_name, hashable
 from screenspark.session import parallelism
 
-# Beyond this many candidate rows per group a top-n is taken in two steps.
-MAX_GROUP_ROWS = 1_000_000
-
-
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str) -> DataFrame:
+def first_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str, most: int = fixed.TOP_K_MAX
+) -> DataFrame:
     """The first ``n`` rows of every key by ``order``, numbered from 1 in ``out``.
 
-    Up to the bound of 1000 Spark cuts every input partition to ``n`` rows per
-    key before the shuffle, so even a key with a third of all rows sends only
-    ``n`` rows per task. ``order`` must be total, or the choice is open.
+    ``n`` is at most ``most``. Slices of a key are cut to ``n`` rows first, so even
+    a key with a third of all rows meets in one task with ``n`` rows per slice
+    only. ``order`` must be total, or the choice is open.
     """
-    if not 1 <= n <= fixed.TOP_K_MAX:
-        raise ValueError(f"n must lie in 1..{fixed.TOP_K_MAX}")
-    partitions = parallelism(df.sparkSession)
-    if n * partitions > MAX_GROUP_ROWS:
-        # Many tasks times many rows could still meet in one task: cut slices of the group first.
-        salt = F.pmod(F.xxhash64(*cols(hashable(df))), F.lit(partitions))
-        sliced = F.row_number().over(Window.partitionBy(*cols(keys), salt).orderBy(*order))
-        df = df.withColumn(out, sliced).filter(col(out) <= n).drop(out)
+    if not 1 <= n <= most:
+        raise ValueError(f"n must lie in 1..{most}")
+    salt = F.pmod(F.xxhash64(*cols(hashable(df))), F.lit(parallelism(df.sparkSession)))
+    sliced = F.row_number().over(Window.partitionBy(*cols(keys), salt).orderBy(*order))
+    df = df.withColumn(out, sliced).filter(col(out) <= n).drop(out)
     place = F.row_number().over(Window.partitionBy(*cols(keys)).orderBy(*order))
     return df.withColumn(out, place).filter(col(out) <= n)
 
@@ -70,7 +65,12 @@ def dedupe_candidates(
     """
     candidate = candidate_column(df, hint)
     key = candidate or (text_key if text_key in df.columns else df.columns[0])
-    return first_per_key(df, [job_key, key], [col(position).asc()])
+    if key != text_key:
+        return first_per_key(df, [job_key, key], [col(position).asc()])
+    # Texts are told apart by their digest, which is what gets sorted.
+    digest = free_name(df, "digest")
+    keyed = df.withColumn(digest, F.sha2(col(key).cast("binary"), 256))
+    return first_per_key(keyed, [job_key, digest], [col(position).asc()]).drop(digest)
 
 
 def candidate_column(df: DataFrame, hint: str | None = None) -> str | None:

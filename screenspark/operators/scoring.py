@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenspark import fixed_values as fixed
+from screenspark.functions.scalars import read_number
 from screenspark.names import col, with_ml_names
 from screenspark.operators.joins import job_candidate_features
 from screenspark.operators.models import ScreeningModel, with_probability
@@ -18,20 +19,22 @@ def predict(
     df: DataFrame,
     model: ScreeningModel,
     features: str = "features",
-    threshold: float = fixed.THRESHOLD,
+    threshold: float | None = None,
     warnings: str = "off",
 ) -> DataFrame:
     """Score rows whose inputs are a string map; other columns pass through.
 
     Missing inputs are empty, unknown ones ignored; ``warnings`` adds what was
-    missing or unknown. The same code serves tables and streams.
+    missing or unknown. Without ``threshold`` the model's own decides. The same
+    code serves tables and streams.
     """
+    threshold = model.threshold if threshold is None else threshold
     inputs = model.columns.inputs()
     others = [c for c in df.columns if c != features]
     notes = schema_warnings(col(features), inputs, warnings)
     numbers = set(model.columns.numbers)
     given = [
-        F.coalesce(column.try_cast("double"), F.lit(0.0)).alias(c) if c in numbers else column
+        F.coalesce(read_number(column), F.lit(0.0)).alias(c) if c in numbers else column
         for c, column in zip(inputs, align_map(col(features), inputs), strict=True)
     ]
     wide = df.select(
@@ -70,11 +73,14 @@ def score_pairs(
     jobs: DataFrame,
     model: ScreeningModel,
     job_key: str,
-    threshold: float = fixed.THRESHOLD,
+    threshold: float | None = None,
+    warnings: str = "off",
 ) -> DataFrame:
     """Probability of every (job, candidate) pair; the candidate's inputs win."""
     merged = job_candidate_features(pairs, jobs, job_key, "job_features", "candidate_features")
-    return predict(merged.drop("job_features", "candidate_features"), model, threshold=threshold)
+    return predict(
+        merged.drop("job_features", "candidate_features"), model, threshold=threshold, warnings=warnings
+    )
 
 
 def rank_candidates(
@@ -84,9 +90,15 @@ def rank_candidates(
     job_key: str,
     position: str,
     top_k: int = fixed.TOP_K,
-    threshold: float = fixed.THRESHOLD,
+    threshold: float | None = None,
+    warnings: str = "off",
 ) -> tuple[DataFrame, DataFrame]:
-    """The best candidates of every job, and a score summary per job."""
-    scored = score_pairs(pairs, jobs, model, job_key, threshold).drop("label")
-    best = top_k_per_group(scored, job_key, "prob_next_phase", position, top_k, threshold)
+    """The best candidates of every job, and a score summary per job.
+
+    The best rows carry ``top_k`` and ``threshold_used``.
+    """
+    used = model.threshold if threshold is None else threshold
+    scored = score_pairs(pairs, jobs, model, job_key, used, warnings).drop("label", "threshold")
+    best = top_k_per_group(scored, job_key, "prob_next_phase", position, top_k, used)
+    best = best.withColumns({"top_k": F.lit(top_k), "threshold_used": F.lit(float(used))})
     return best, score_summary(scored, job_key, "prob_next_phase")

@@ -18,8 +18,6 @@ from screenspark.names import col
 from screenspark.operators.joins import hot_keys, skew_join
 from screenspark.session import plan_bytes
 
-# More terms than this are refused: the vocabulary must stay fit to broadcast.
-MAX_VOCABULARY = 200_000
 # Spark's default input split.
 SPLIT_BYTES = 128 * 1024 * 1024
 
@@ -29,7 +27,8 @@ class TfidfSpec:
     """How to cut words and which terms to keep.
 
     ``min_df`` and ``max_df`` are document counts when whole numbers and shares
-    of all documents when fractions; both bounds are inclusive.
+    of all documents when fractions; both bounds are inclusive. ``max_terms`` is
+    the largest vocabulary that is taken: it is broadcast, at some 100 bytes a term.
     """
 
     max_features: int
@@ -38,10 +37,11 @@ class TfidfSpec:
     ngram_min: int = 1
     ngram_max: int = 1
     words: Callable[[Column], Column] = tokens
+    max_terms: int = 200_000
 
     def __post_init__(self) -> None:
-        if not 1 <= self.max_features <= MAX_VOCABULARY:
-            raise ValueError(f"max_features must lie in 1..{MAX_VOCABULARY}")
+        if not 1 <= self.max_features <= self.max_terms:
+            raise ValueError(f"max_features must lie in 1..{self.max_terms}")
 
     def terms(self, text: Column) -> Column:
         return ngrams(self.words(text), self.ngram_min, self.ngram_max)
@@ -85,18 +85,24 @@ def term_statistics(texts: DataFrame, spec: TfidfSpec) -> DataFrame:
     )
 
 
-def vocabulary(texts: DataFrame, spec: TfidfSpec) -> DataFrame:
+def vocabulary(texts: DataFrame, spec: TfidfSpec, n_docs: Column | None = None) -> DataFrame:
     """Kept terms: ``term``, ``df``, ``tf``, ``idf`` and ``pos``, the alphabetical index.
 
     Terms outside the document-frequency bounds go first, then the most counted
-    ``max_features`` stay, ties by term.
+    ``max_features`` stay, ties by term. ``n_docs`` counts the documents where
+    ``texts`` does not hold them all, such as absent ones.
     """
-    n_docs = texts.agg(F.coalesce(F.sum("weight"), F.lit(0))).scalar()
+    if n_docs is None:
+        n_docs = texts.agg(F.coalesce(F.sum("weight"), F.lit(0))).scalar()
+    return _kept_terms(term_statistics(texts, spec), spec, n_docs)
+
+
+def _kept_terms(statistics: DataFrame, spec: TfidfSpec, n_docs: Column) -> DataFrame:
 
     def bound(value: int | float) -> Column:
         return F.lit(value) if isinstance(value, int) else F.lit(value) * n_docs
 
-    kept = term_statistics(texts, spec).filter(
+    kept = statistics.filter(
         (F.col("df") >= bound(spec.min_df)) & (F.col("df") <= bound(spec.max_df))
     )
     top = kept.orderBy(F.desc("tf"), F.asc("term")).limit(spec.max_features)
@@ -149,6 +155,32 @@ def _dense(vec: Column) -> Column:
     return let(vec, spread)
 
 
+def term_table(table: DataFrame, key: str, spec: TfidfSpec) -> DataFrame:
+    """``key, counts``: every text as its distinct terms with their counts."""
+    return spread_if_small(table).select(col(key), term_counts(spec.terms(F.col("text"))).alias("counts"))
+
+
+def pair_vocabulary(
+    pairs: DataFrame, candidates: DataFrame, jobs: DataFrame, job: str, candidate: str, spec: TfidfSpec = SIMILARITY
+) -> DataFrame:
+    """Vocabulary of both texts of every pair; an absent text counts as an empty one.
+
+    Terms are counted in the row before the number of uses is joined, so no text
+    is shuffled.
+    """
+
+    def side(table: DataFrame, key: str) -> DataFrame:
+        uses = pairs.filter(col(key).isNotNull()).groupBy(col(key)).agg(F.count("*").alias("weight"))
+        terms = term_table(table, key, spec).join(uses, key).select("weight", F.explode("counts").alias("t"))
+        return terms.groupBy(F.col("t.term").alias("term")).agg(
+            F.sum("weight").alias("df"), F.sum(F.col("weight") * F.col("t.tf")).alias("tf")
+        )
+
+    both = side(candidates, candidate).unionByName(side(jobs, job))
+    statistics = both.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    return _kept_terms(statistics, spec, pairs.agg(2 * F.count("*")).scalar())
+
+
 def similarity(
     pairs: DataFrame,
     candidates: DataFrame,
@@ -165,7 +197,7 @@ def similarity(
     without a shared term, or without a text, get 0.
     """
     if vocab is None:
-        vocab = vocabulary(corpus(pairs, candidates, jobs, job, candidate), spec)
+        vocab = pair_vocabulary(pairs, candidates, jobs, job, candidate, spec)
     cand_vec = vectors(candidates, candidate, vocab, spec).withColumnRenamed("vec", "cand_vec")
     job_vec = vectors(jobs, job, vocab, spec).select(col(job), _dense(F.col("vec")).alias("job_vec"))
     with_cand = skew_join(pairs, cand_vec, candidate, "left")

@@ -81,11 +81,12 @@ SQL_APPLICATIONS = """apps AS (
 
 
 def length_score() -> Column:
-    """Document length in steps of 40 characters as a score from 0 to 1."""
-    return F.floor(F.least(F.col("n_chars"), F.lit(4000)) / 40) / 100.0
+    """A score from 0 to 1 that grows with a document's length without end, in hundredths."""
+    n = F.col("n_chars").cast("double")
+    return F.floor(n * 100.0 / (n + 2000.0)) / 100.0
 
 
-SQL_LENGTH_SCORE = "floor(least(n_chars, 4000) / 40.0::DOUBLE) / 100.0::DOUBLE"
+SQL_LENGTH_SCORE = "floor(n_chars::DOUBLE * 100.0::DOUBLE / (n_chars::DOUBLE + 2000.0::DOUBLE)) / 100.0::DOUBLE"
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,18 +123,20 @@ def sql_tokens(table_sql: str, key: str, text: str, name: str = "tok") -> str:
 
 # ---- drift ----------------------------------------------------------------------------
 
-DRIFT_NUMBERS = ["l_discount", "l_extendedprice", "l_linenumber", "l_quantity", "l_tax"]
-DRIFT_TEXTS = ["l_linestatus", "l_returnflag", "p_brand"]
+DRIFT_NUMBERS = [
+    "l_discount", "l_extendedprice", "l_linenumber", "l_orderkey", "l_partkey", "l_quantity", "l_suppkey", "l_tax",
+]
+DRIFT_TEXTS = ["l_linestatus", "l_returnflag", "l_shipdate", "p_brand"]
 DRIFT_DAY = "1999-01-01"
 
 
 def drift_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Line items shipped before and since a day; one column never has a value."""
+    """All columns of the line items shipped before and since a day; one column never has a value."""
     part = table(spark, folder, "part").select("p_partkey", "p_brand")
     lines = table(spark, folder, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     early = F.col("l_shipdate") < F.lit(DRIFT_DAY).cast("timestamp_ntz")
-    wanted = [*DRIFT_NUMBERS, *DRIFT_TEXTS, F.lit(None).cast("string").alias("sem_valor")]
-    return lines.filter(early).select(*wanted), lines.filter(~early).select(*wanted)
+    sides = lines.drop("p_partkey").withColumn("sem_valor", F.lit(None).cast("string"))
+    return sides.filter(early), sides.filter(~early)
 
 
 SQL_DRIFT_SIDES = f"""sides AS (

@@ -93,7 +93,9 @@ def _described(name: str, table: str) -> str:
        round(quantile_cont({name}::DOUBLE, 0.75), 6) AS p75 FROM {table}"""
 
 
-DESCRIBED = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
+DESCRIBED = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+]
 
 
 @query("describe", " UNION ALL ".join(_described(n, "lineitem") for n in DESCRIBED))
@@ -199,7 +201,14 @@ def column_profile(spark: SparkSession, folder: str) -> DataFrame:
     return profile.sorted_profile(found)
 
 
-AUDITED = {"o_orderkey": "bigint", "o_orderstatus": "string", "o_orderpriority": "string", "o_custkey": "bigint"}
+AUDITED = {
+    "o_orderkey": "bigint",
+    "o_custkey": "bigint",
+    "o_orderstatus": "string",
+    "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz",
+    "o_orderpriority": "string",
+}
 
 
 def _audited(name: str, kind: str) -> str:
@@ -211,7 +220,7 @@ def _audited(name: str, kind: str) -> str:
 
 @query("column_audit", " UNION ALL ".join(_audited(n, k) for n, k in AUDITED.items()))
 def column_audit(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.column_audit(frames.table(spark, folder, "orders").select(*AUDITED))
+    return profile.column_audit(frames.table(spark, folder, "orders"))
 
 
 @query(
@@ -238,7 +247,7 @@ def table_shape(spark: SparkSession, folder: str) -> DataFrame:
     "aligned_counts",
     f"""WITH {frames.SQL_DRIFT_SIDES} """
     + " UNION ALL ".join(
-        f"""SELECT '{n}' AS feature, {n} AS value, CAST(sum(is_ref) AS BIGINT) AS ref_c,
+        f"""SELECT '{n}' AS feature, {n}::VARCHAR AS value, CAST(sum(is_ref) AS BIGINT) AS ref_c,
         CAST(sum(1 - is_ref) AS BIGINT) AS prod_c FROM sides WHERE {n} IS NOT NULL GROUP BY 2"""
         for n in frames.DRIFT_TEXTS
     ),

@@ -57,16 +57,16 @@ def keyed_json_flatten(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "prospects_explode",
     """WITH lines AS (
-      SELECT doc_id, source, lang, unnest(string_split(text, chr(10))[2:]) AS line FROM documents)
+      SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line FROM documents)
     SELECT CAST(doc_id AS VARCHAR) AS codigo_vaga, source AS titulo_vaga, lang AS modalidade,
        md5(line) AS codigo_applicant, line AS nome_candidato, lang AS situacao_candidato,
        CAST(NULL AS VARCHAR) AS data_candidatura, CAST(NULL AS VARCHAR) AS ultima_atualizacao,
        CAST(NULL AS VARCHAR) AS comentario, CAST(NULL AS VARCHAR) AS recrutador
-    FROM lines""",
+    FROM lines WHERE line <> ''""",
 )
 def prospects_explode(spark: SparkSession, folder: str) -> DataFrame:
-    """Every line of a document but the first is a prospect; some documents have none."""
-    lines = F.slice(F.split("text", "\n"), F.lit(2), F.size(F.split("text", "\n")))
+    """Every line of a document that is not empty is a prospect; an empty document has none."""
+    lines = F.filter(F.split("text", "\n"), lambda line: line != "")
     prospects = F.transform(
         lines,
         lambda line: F.struct(
@@ -216,21 +216,22 @@ def drop_by_role(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "project_and_reorder",
-    """SELECT o_orderkey, o_orderstatus, o_custkey, o_totalprice, o_orderpriority,
+    """SELECT o_orderkey, o_orderstatus, o_custkey, o_totalprice, o_orderpriority, o_orderdate::VARCHAR AS o_orderdate,
        CASE WHEN lower(trim(o_orderpriority)) = lower(trim(o_orderstatus)) THEN 1 ELSE 0 END AS igual
     FROM orders""",
 )
 def project_and_reorder(spark: SparkSession, folder: str) -> DataFrame:
-    orders = frames.table(spark, folder, "orders").drop("o_orderdate")
+    orders = frames.table(spark, folder, "orders")
     with_match = orders.withColumn(
         "igual", scalars.level_match(F.col("o_orderpriority"), F.col("o_orderstatus"))
     )
-    return shape.reorder(with_match, ["o_orderkey", "o_orderstatus"], ["igual"])
+    ordered = shape.reorder(with_match, ["o_orderkey", "o_orderstatus"], ["igual"])
+    return ordered.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 def _with_odd_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with a constant, an all-null and a mostly-null column."""
-    lines = frames.table(spark, folder, "lineitem").drop("l_shipdate")
+    lines = frames.table(spark, folder, "lineitem")
     return lines.withColumns(
         {
             "constante": F.lit("x"),
@@ -241,7 +242,7 @@ def _with_odd_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LINE_COLUMNS = """l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
-       l_tax, l_returnflag, l_linestatus"""
+       l_tax, l_returnflag, l_linestatus, l_shipdate::VARCHAR AS l_shipdate"""
 
 
 @query(
@@ -249,12 +250,14 @@ _LINE_COLUMNS = """l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l
     f"""SELECT {_LINE_COLUMNS}, CASE WHEN l_linenumber = 7 THEN l_linestatus END AS rara FROM lineitem""",
 )
 def drop_invalid(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.drop_invalid_columns(_with_odd_columns(spark, folder))
+    kept = profile.drop_invalid_columns(_with_odd_columns(spark, folder))
+    return kept.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
 
 
 @query("clean_columns", f"SELECT {_LINE_COLUMNS} FROM lineitem")
 def clean_columns(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.clean_columns(_with_odd_columns(spark, folder))
+    kept = profile.clean_columns(_with_odd_columns(spark, folder))
+    return kept.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
 
 
 @query(

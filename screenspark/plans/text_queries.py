@@ -242,7 +242,7 @@ def _pair_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 
 def _pair_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     pairs, docs, jobs = _pair_inputs(spark, folder)
-    return tfidf.vocabulary(tfidf.corpus(pairs, docs, jobs, "item_id", "doc_id"), tfidf.SIMILARITY)
+    return tfidf.pair_vocabulary(pairs, docs, jobs, "item_id", "doc_id")
 
 
 @query(

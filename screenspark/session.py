@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,45 +23,36 @@ def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once and continue from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder name below the one that ``spark.checkpoint.dir`` names.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A local
-    master without that setting gets a scratch folder; a cluster without it is
-    an error, because a machine-local folder would die with its machine.
+    Without that setting, or a checkpoint folder set by the caller, this is an
+    error: a machine-local folder would die with its machine.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="run-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-# Fewer rows than this are not worth a task of their own.
-ROWS_PER_TASK = 500
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, columns read as needed."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` and spread a small table over as many cores as it can use.
-
-    Adaptive execution may leave fewer partitions than cores; each is then below
-    the advisory partition size, so dealing the rows out again is cheap.
-    """
-    written = checkpointed(df)
-    cores = written.sparkSession.sparkContext.defaultParallelism
-    now = written.rdd.getNumPartitions()
-    if now > cores:
-        return written
-    wanted = max(1, min(cores, written.count() // ROWS_PER_TASK))
-    return written if wanted == now else written.repartition(wanted)
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``written`` made and nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        store, path = fs.FileSystem.from_uri(re.sub("^file:/*", "/", files[0].rsplit("/", 1)[0]))
+        store.delete_dir(path)
 
 
 def parallelism(spark: SparkSession) -> int:

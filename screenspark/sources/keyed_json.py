@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,17 +81,21 @@ def flatten_keyed_json(
 def keyed_json_schema(documents: DataFrame, text: str = "value") -> T.StructType:
     """Record schema found by one pass over the documents."""
     entries = documents.select(F.parse_json(col(text)).alias("doc"))
-    spark = documents.sparkSession
-    entries.createOrReplaceTempView("keyed_json_documents")
-    found = spark.sql(
-        "select schema_of_variant_agg(e.value) from keyed_json_documents,"
-        " lateral variant_explode(doc) as e"
-    ).first()[0]
-    spark.catalog.dropTempView("keyed_json_documents")
+    each = documents.sparkSession.tvf.variant_explode(F.col("doc").outer())
+    found = entries.lateralJoin(each).agg(F.schema_of_variant_agg("value")).first()[0]
     if not found or found.upper() in ("VOID", "OBJECT<>"):
         return T.StructType([])
-    ddl = found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
-    return T._parse_datatype_string(ddl)
+    return T.StructType.fromDDL(_as_ddl(found)[len("STRUCT<") : -1])
+
+
+# A quoted field name, or a type word where a type stands.
+TYPE_WORD = re.compile(r"`(?:``|[^`])*`|(?:(?<=: )|(?<=ARRAY<)|\A)(?:VOID\b|OBJECT<)")
+
+
+def _as_ddl(variant_schema: str) -> str:
+    """Objects as structs and values that are always null as strings; names stay as they are."""
+    words = {"VOID": "STRING", "OBJECT<": "STRUCT<"}
+    return TYPE_WORD.sub(lambda m: words.get(m[0], m[0]), variant_schema)
 
 
 def load_prospects(documents: DataFrame, text: str = "value") -> DataFrame:

@@ -23,7 +23,7 @@ def score_stream(
     out: str,
     checkpoint: str,
     features: str = "features",
-    threshold: float = fixed.THRESHOLD,
+    threshold: float | None = None,
 ) -> StreamingQuery:
     """Append predictions to Parquet until the files present are done.
 

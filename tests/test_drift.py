@@ -76,3 +76,24 @@ def test_report_summary_and_gate(spark):
     assert (summary.n_features, summary.n_drifted, summary.drift_rate, summary.failed) == (4, 1, 0.25, False)
     only = drift.drift_summary(drift.drift_report(ref, prod, columns=["n"])).first()
     assert only.failed
+
+
+def test_small_effective_samples_follow_the_exact_law():
+    assert pvalues.ks_tail(0.6, 10_001, 3) == pytest.approx(0.144, abs=1e-4)
+    assert pvalues.ks_tail(0.4, 10_001, 5) == pytest.approx(0.3088, abs=1e-4)
+    near = pvalues.ks_tail_one_sample(0.1, 80)
+    pvalues_large = pvalues.EXACT_SIZE
+    assert pvalues_large == 80 and near == pytest.approx(0.37559, abs=1e-4)
+
+
+def test_chi_square_of_very_many_categories_converges():
+    assert pvalues.chi2_tail(400_000.0, 400_000) == pytest.approx(0.4997, abs=1e-3)
+
+
+def test_nan_is_missing_in_drift(spark):
+    nan = float("nan")
+    ref = spark.createDataFrame([(1.0, "a"), (nan, "b"), (2.0, "a"), (3.0, None)], "x double, t string")
+    prod = spark.createDataFrame([(1.0, "a"), (2.0, "a"), (3.0, "b"), (nan, "b")], "x double, t string")
+    rows = {r.feature: r for r in drift.drift_report(ref, prod).collect()}
+    assert (rows["x"].ref_n, rows["x"].prod_n, rows["x"].statistic) == (3, 3, 0.0)
+    assert (rows["t"].ref_n, rows["t"].prod_n) == (3, 4)

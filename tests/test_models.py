@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -58,7 +59,8 @@ def test_saved_model_scores_the_same(spark, trained, tmp_path):
     model, holdout = trained
     meta = models.save_model(model, str(tmp_path / "m"), holdout)
     assert meta["n_test"] == 24 and meta["metrics_holdout"]["roc_auc"] == 1.0
-    back = models.load_model(spark, str(tmp_path / "m"), SPEC)
+    back = models.load_model(spark, str(tmp_path / "m"))
+    assert (back.columns, back.threshold) == (SPEC, fixed.THRESHOLD)
     assert back.meta["schema_in"] == json.loads(json.dumps(meta["schema_in"]))
     rows = with_ml_names(people(spark))
     score = lambda m: [r.score for r in models.with_probability(m.pipeline, rows, 0.6).orderBy("rid").collect()]
@@ -197,10 +199,10 @@ def test_numbers_are_imputed_scaled_and_predicted(spark):
     assert scoring.predict(maps, model).count() == 120
 
 
-def test_too_many_categories_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(models, "MAX_CATEGORIES", 2)
+def test_too_many_categories_are_refused(spark):
+    models.check_categories(people(spark), ["rid", "modalidade"], 121)
     with pytest.raises(ValueError, match="rid"):
-        models.check_categories(people(spark), ["rid", "modalidade"])
+        models.check_categories(people(spark), ["rid", "modalidade"], 120)
 
 
 def test_model_comparison(spark):
@@ -226,3 +228,44 @@ def test_four_rows_train(spark):
 
 def test_pipeline_model_type(trained):
     assert isinstance(trained[0].pipeline, PipelineModel)
+
+
+def test_missing_categories_take_the_most_frequent_value(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "c string")
+    model = encode.CategoryPreparation(inputCols=["c", "absent"]).fit(df.withColumn("absent", F.lit(None).cast("string")))
+    rows = model.transform(df).collect()
+    assert [r.c for r in rows] == ["a", "a", "b", "a"] and {r.absent for r in rows} == {""}
+    spec = replace(SPEC, impute_modes=True, bag_min_df=3.0, bag_size=15)
+    _, holdout = models.train(
+        people(spark), "target_triagem", "codigo_vaga", spec, models.logistic_regression, "balanced"
+    )
+    assert holdout.count() == 24
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "n double")
+    assert encode.medians(df, ["n"]) == {"n": 2.0}
+    assert [r.n for r in encode.impute_medians(df, ["n"]).collect()] == [1.0, 2.0, 3.0, 2.0]
+    assert encode.scaling(df, ["n"]) == {"n": (2.0, 1.0)}
+
+
+def test_the_model_does_not_depend_on_the_input_partitions(spark):
+    found = []
+    for parts in (1, 7):
+        model, _ = models.train(
+            people(spark).repartition(parts), "target_triagem", "codigo_vaga", SPEC,
+            models.random_forest(max_depth=4, min_leaf=1, trees=7), "balanced",
+        )
+        found.append(model.pipeline.stages[-1].toDebugString.split("\n", 1)[1])
+    assert found[0] == found[1]
+
+
+def test_candidates_of_an_unknown_job_are_ranked(spark, trained):
+    pairs = spark.createDataFrame(
+        [("x", 1, {"cv_pt": "sap"}), ("x", 2, None)], "job string, pos long, candidate_features map<string,string>"
+    )
+    jobs = spark.createDataFrame([("y", {"a": "b"})], "job string, job_features map<string,string>")
+    best, _ = scoring.rank_candidates(pairs, jobs, trained[0], "job", "pos", warnings="summary")
+    rows = best.collect()
+    assert {r.pos for r in rows} == {1, 2} and {(r.top_k, r.threshold_used) for r in rows} == {(5, 0.6)}
+    assert {r.missing_count for r in rows} == {4, 5}

@@ -101,3 +101,11 @@ def test_ids_without_candidate_column_come_from_the_position(spark):
     assert ranking.candidate_column(df) is None
     rows = payload.candidate_rows(df, "pos", ["nota"]).collect()
     assert {r.external_id for r in rows} == {"0", "1", "2", "3"}
+
+
+def test_two_missing_ids_are_one_entry(spark):
+    reply = '{"common_questions": ["c"], "per_candidate": {"sem_id": ["q"]}}'
+    df = spark.createDataFrame([(reply, [None, "a", None, "a"])], "reply string, ids array<string>")
+    common, each = questions.normalized_reply(F.col("reply"), F.col("ids"))
+    row = df.select(common.alias("c"), each.alias("e")).first()
+    assert row.c == ["c"] and row.e == {"sem_id": ["q"], "a": []}

@@ -87,3 +87,20 @@ def test_compact_json_drops_nulls_and_types_values(spark):
 def test_threshold_label(spark):
     df = spark.createDataFrame([(0.6,), (0.59,)], "p double")
     assert [r[0] for r in df.select(S.threshold_label(F.col("p"))).collect()] == [1, 0]
+
+
+def test_only_plain_numbers_are_read(spark):
+    rows = [("10d",), ("1f",), ("nan",), ("inf",), (" 12 ",), ("-1.5e3",), (".5",), ("5.",), ("x",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "t string").select(S.read_number(F.col("t")).alias("n"))
+    assert [r.n for r in df.collect()] == [None, None, None, None, 12.0, -1500.0, 0.5, 5.0, None, None, None]
+
+
+def test_null_maps_merge_as_empty(spark):
+    df = spark.createDataFrame([({"a": "1"}, None), (None, {"b": "2"}), (None, None)], "x map<string,string>, y map<string,string>")
+    assert [r[0] for r in df.select(S.merged_maps(F.col("x"), F.col("y"))).collect()] == [{"a": "1"}, {"b": "2"}, {}]
+
+
+def test_job_profile_fields_stay_text(spark):
+    df = spark.createDataFrame([(1, 2.5, "x")], "`perfil_vaga.anos` int, nota double, t string")
+    text = df.select(S.compact_json(df, df.columns)).first()[0]
+    assert json.loads(text) == {"perfil_vaga.anos": "1", "nota": 2.5, "t": "x"}

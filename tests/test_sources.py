@@ -130,3 +130,12 @@ def test_keyed_document_round_trip(spark):
     )
     rows = kj.flatten_keyed_json(docs, record("a"), "id").collect()
     assert sorted((r.id, r.a) for r in rows) == [("0", None), ("1", None), ("2", None)]
+
+
+def test_schema_words_in_names_stay(spark):
+    base = {"1": {"VOID": None, "OBJECT<x": {"a VOID b": 1}, "n": [None], "k": {"VOID": 2}}}
+    docs = documents(spark, base)
+    found = kj.keyed_json_schema(docs)
+    assert set(found.names) == {"VOID", "OBJECT<x", "n", "k"}
+    assert found["k"].dataType.names == ["VOID"] and found["OBJECT<x"].dataType.names == ["a VOID b"]
+    assert found["VOID"].dataType.simpleString() == "string" and found["n"].dataType.simpleString() == "array<string>"

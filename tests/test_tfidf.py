@@ -88,3 +88,13 @@ def test_weights_have_unit_length(spark):
 def test_vocabulary_size_is_checked():
     with pytest.raises(ValueError):
         tfidf.TfidfSpec(max_features=10**9)
+
+
+def test_absent_texts_count_as_documents(spark):
+    pairs = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "c long, j long")
+    cvs = spark.createDataFrame([(1, "sap java"), (2, "sap nuvem")], "c long, text string")
+    jobs = spark.createDataFrame([(1, "sap")], "j long, text string")
+    spec = tfidf.TfidfSpec(max_features=10, words=plain)
+    found = {r.term: r for r in tfidf.pair_vocabulary(pairs, cvs, jobs, "j", "c", spec).collect()}
+    assert found["sap"].df == 5 and found["sap"].idf == pytest.approx(math.log(7 / 6) + 1)
+    assert found["java"].idf == pytest.approx(math.log(7 / 2) + 1)

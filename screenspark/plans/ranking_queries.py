@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from screenspark.functions.scalars import normalized_id
 from screenspark.operators import encode, metrics, payload, profile, questions, ranking, split
+from screenspark.operators.joins import skew_join
 from screenspark.plans import frames
 from screenspark.plans.registry import query
 
@@ -252,7 +253,7 @@ def _payload_base(spark: SparkSession, folder: str) -> DataFrame:
     jobs = frames.table(spark, folder, "benchmark").select(
         "item_id", F.col("text").alias("perfil_vaga.principais_atividades")
     )
-    apps = frames.applications(spark, folder).join(jobs, "item_id")
+    apps = skew_join(frames.applications(spark, folder), jobs, "item_id")
     return apps.select(
         "doc_id",
         F.concat(F.col("item_id").cast("string"), F.lit(".0")).alias("codigo_vaga"),

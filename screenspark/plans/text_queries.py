@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from screenspark.functions import scalars, text
 from screenspark.operators import ranking, tfidf
+from screenspark.operators.joins import skew_join
 from screenspark.plans import frames
 from screenspark.plans.registry import query
 
@@ -43,10 +44,12 @@ def token_lists(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(text.tokens(F.col("text")), " ").alias("words"))
 
 
-def _pair_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Applications with the text of their job; the job table is joined without a size guess."""
-    jobs = frames.table(spark, folder, "benchmark").select("item_id", F.col("text").alias("job_text"))
-    return tfidf.spread_if_small(frames.applications(spark, folder)).join(jobs, "item_id")
+def _pair_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Applications with the token sets of both sides: built once per text, then joined on the job key."""
+    jobs = frames.table(spark, folder, "benchmark").select("item_id", text.token_set(F.col("text")).alias("a"))
+    apps = tfidf.spread_if_small(frames.applications(spark, folder))
+    sets = apps.select("doc_id", "item_id", text.token_set(F.col("text")).alias("b"))
+    return skew_join(sets, jobs, "item_id")
 
 
 SQL_SETS = f"""{frames.SQL_APPLICATIONS},
@@ -66,8 +69,8 @@ shared AS (SELECT a.doc_id, count(*) AS n FROM apps a JOIN ds USING (doc_id)
     FROM apps a LEFT JOIN dn USING (doc_id) LEFT JOIN jn USING (item_id) LEFT JOIN shared USING (doc_id)""",
 )
 def jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    overlap = text.skill_overlap(F.col("job_text"), F.col("text"))
-    return _pair_texts(spark, folder).select("doc_id", F.round(overlap, 6).alias("overlap_skills"))
+    overlap = text.jaccard(F.col("a"), F.col("b"))
+    return _pair_sets(spark, folder).select("doc_id", F.round(overlap, 6).alias("overlap_skills"))
 
 
 @query(
@@ -78,10 +81,7 @@ def jaccard(spark: SparkSession, folder: str) -> DataFrame:
     FROM apps a LEFT JOIN dn USING (doc_id) LEFT JOIN jn USING (item_id) LEFT JOIN shared USING (doc_id)""",
 )
 def token_set_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    sets = _pair_texts(spark, folder).select(
-        "doc_id", text.token_set(F.col("job_text")).alias("a"), text.token_set(F.col("text")).alias("b")
-    )
-    return sets.select(
+    return _pair_sets(spark, folder).select(
         "doc_id",
         F.size(F.array_intersect("a", "b")).cast("bigint").alias("n_shared"),
         F.size(F.array_union("a", "b")).cast("bigint").alias("n_union"),

@@ -254,7 +254,7 @@ def test_the_model_does_not_depend_on_the_input_partitions(spark):
     for parts in (1, 7):
         model, _ = models.train(
             people(spark).repartition(parts), "target_triagem", "codigo_vaga", SPEC,
-            models.random_forest(max_depth=4, min_leaf=1, trees=7), "balanced",
+            models.random_forest(max_depth=4, min_leaf=1, trees=7), "balanced", rows_per_partition=30,
         )
         found.append(model.pipeline.stages[-1].toDebugString.split("\n", 1)[1])
     assert found[0] == found[1]

@@ -44,7 +44,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS, SEED = 1.0, 11
 SPACE, LITERAL = 0x2581, 0x110001  # the space mark, and a stand-in for one that the text itself holds
 CHUNK = re.compile(r" *[^ \n]+| +|\n+")
-BATCH_CHARS = 8 << 20
+BATCH_CHARS = 1 << 21  # bounds a task's lattice to some 100 MB
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MAX_MODEL_BYTES = 64 << 20
 ALL = (1 << 64) - 1
@@ -117,7 +117,7 @@ class Lattice:
     """Edges into every place of some chunks, with the cumulated shares of backward sampling."""
 
     def __init__(self, chunks: list[str], voc: Vocabulary):
-        codes = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32).astype(np.int32)
         codes = np.where(codes == SPACE, LITERAL, np.where(codes == 0x20, SPACE, codes))
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ends = np.cumsum(sizes)
@@ -125,9 +125,9 @@ class Lattice:
         # Places are numbered so that chunk k owns size + 1 of them.
         self.first = np.cumsum(sizes + 1) - (sizes + 1)
         self.last = self.first + sizes
-        place = np.arange(len(codes)) + np.repeat(np.arange(len(chunks)), sizes)
+        place = (np.arange(len(codes)) + np.repeat(np.arange(len(chunks)), sizes)).astype(np.int32)
         begin, length, piece = [], [], []
-        alive, hashes = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        alive, hashes = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.uint64)
         known = np.zeros(len(codes), bool)
         for n in range(1, voc.longest + 1):
             alive = alive[alive + n <= limit[alive]]
@@ -137,15 +137,15 @@ class Lattice:
             found = voc.look_up(hashes[alive])
             whole = found >= 0
             begin.append(alive[whole])
-            length.append(np.full(int(whole.sum()), n))
+            length.append(np.full(int(whole.sum()), n, np.int8))
             piece.append(found[whole])
             if n == 1:
                 known[alive[whole]] = True
             alive = alive[found > -2]
-        bare = np.flatnonzero(~known)  # written in bytes: -1 - code point
+        bare = np.flatnonzero(~known).astype(np.int32)  # written in bytes: -1 - code point
         # Longest pieces first: they are the likely ones and are then tried first.
         begin = np.concatenate([*begin[::-1], bare])
-        length = np.concatenate([*length[::-1], np.ones(len(bare), np.int64)])
+        length = np.concatenate([*length[::-1], np.ones(len(bare), np.int8)])
         code = np.where(codes[bare] == LITERAL, SPACE, codes[bare])
         piece = np.concatenate([*piece[::-1], -1 - code])
         n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
@@ -153,8 +153,9 @@ class Lattice:
         logp[len(logp) - len(bare) :] = n_bytes * voc.logp[voc.bytes[0]]
         source = place[begin]
         target = source + length
-        order = np.argsort(target, kind="stable")
+        order = np.argsort(target, kind="stable").astype(np.int32)
         source, target, self.piece, logp = source[order], target[order], piece[order], logp[order]
+        del order, begin, length, hashes, place, piece
         self.source = source
         total = int(self.last[-1]) + 1 if len(chunks) else 0
         self.edges = np.searchsorted(target, np.arange(total + 1))

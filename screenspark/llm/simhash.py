@@ -279,10 +279,10 @@ def near_groups(
     rows = written(fingerprints(docs, id_col, text_col, shingle))
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("least")))
     root = stars(near_links(nodes.select("fp"), max_bits, group_limit))
-    placed = nodes.join(root, F.col("fp") == F.col("a"), "left").select(
-        "fp", "least", F.coalesce("b", "fp").alias("class_fp")
-    )
-    heads = placed.groupBy("class_fp").agg(F.min("least").alias("component_id"))
+    placed = nodes.join(root, F.col("fp") == F.col("a"), "left")
+    # Written on both sides: the join can then split a large component.
+    placed = written(placed.select("fp", "least", F.coalesce("b", "fp").alias("class_fp")))
+    heads = written(placed.groupBy("class_fp").agg(F.min("least").alias("component_id")))
     named = written(placed.join(heads, "class_fp").select(F.col("fp").alias("node"), "component_id", "class_fp"))
     return rows.join(named, F.col("fp") == F.col("node")).select(
         F.col("id").alias("doc_id"),

@@ -372,14 +372,15 @@ def near_groups(rows: DataFrame, threshold: float = THRESHOLD, band_limit: int =
         .agg(F.min("doc_id").alias("least"))
         .select(F.xxhash64("fingerprint").alias("node"), F.col("fingerprint").alias("fp"), "least")
     )
-    keys = nodes.select("node", "fp").mapInArrow(_banded, "key long, node long")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # Tables on both sides of a join are written, so that it can split a hot key.
+    keys = written(nodes.select("node", "fp").mapInArrow(_banded, "key long, node long"))
+    sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     met = keys.join(sizes, "key").join(nodes.select("node", "fp"), "node").select("key", "n", "node", "fp")
     split = met.mapInArrow(_finer(band_limit), "key long, node long, fp string")
     grouped = split.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
     root = stars(grouped.mapInArrow(_linked(threshold), "a long, b long"))
-    placed = nodes.join(root, F.col("node") == F.col("a"), "left").select(
-        "fp", "least", F.coalesce("b", "node").alias("root")
+    placed = written(
+        nodes.join(root, F.col("node") == F.col("a"), "left").select("fp", "least", F.coalesce("b", "node").alias("root"))
     )
-    heads = placed.groupBy("root").agg(F.min("least").alias("group_id"))
+    heads = written(placed.groupBy("root").agg(F.min("least").alias("group_id")))
     return placed.join(heads, "root").select(F.col("fp").alias("fingerprint"), "group_id")

@@ -3,14 +3,14 @@
 Word and word-pair counts of the training texts are quantised to levels of their
 logarithm. A gram of level q is entered into a Bloom filter q times, as (gram, 1)
 to (gram, q); a lookup probes level after level until one is missing and so reads
-the level back, never too low. The filter is all that the workers get: its size
-never exceeds ``max_filter_bits``, whatever the corpus.
+the level back, never too low. The filter has ``BITS_PER_EVENT`` bits for every
+event of every word and pair, so it grows with the corpus. It is a table of shards,
+one for each bucket of leading hash bits and gram size; neither the driver nor a
+worker holds it whole.
 
 Counting: every batch of documents sends its distinct grams with their counts to
 the bucket of their leading hash bits, where they are summed. All counts go into
-the table of counts. The filter takes the pairs whose count reaches the smallest
-threshold at which ``BITS_PER_EVENT`` bits remain for every event; single words
-are always entered. The threshold is 1 while everything fits.
+the table of counts, and all grams into the filter.
 
 Model, with c the counts read back from the filter, N tokens, V distinct tokens::
 
@@ -23,8 +23,9 @@ to the number of distinct pairs in the corpus. c(u w) never exceeds c(u) or c(w)
 The score of a text is the sum of log10 P(w|u) over its words and the end token;
 the first word follows an end token.
 
-The base score needs exact counts. Each chunk of documents asks the table of
-counts for its distinct words and gets them back: no dictionary is broadcast.
+Each chunk of documents asks the buckets for its distinct words and pairs and gets
+back the levels that the shards hold, and for words the exact counts that the base
+score needs: no dictionary and no filter is broadcast.
 
 Defined cases: a null or empty text is one end token; a null id is a training
 row; an empty table gives an empty result; without training rows every count is
@@ -61,8 +62,7 @@ PAIR = np.uint64(0x9E3779B97F4A7C15)
 LEVEL_BASE = 1.5
 PROBES = 4
 BITS_PER_EVENT = 8
-MAX_FILTER_BITS = 96 << 23  # 96 MB
-BLOCK_BITS = 16  # log2 of the bits of a filter block: 8 KB
+MAX_FILTER_BITS = 96 << 23  # 96 MB: the largest filter that ``train`` gathers
 BATCH_BYTES = 8 << 20
 
 
@@ -162,84 +162,84 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     )
 
 
-class Filter:
-    """Where the events of a gram lie: a block chosen by its leading hash bits, and bits inside."""
-
-    def __init__(self, n_blocks: int):
-        self.n_blocks = np.uint64(n_blocks)
-        self.mask = np.uint64((1 << BLOCK_BITS) - 1)
-
-    def positions(self, hashes: np.ndarray, levels: np.ndarray):
-        """Block of every event and its ``PROBES`` bits in the block."""
-        blocks = ((hashes >> np.uint64(32)) * self.n_blocks) >> np.uint64(32)
-        drawn = mixed(hashes + levels.astype(np.uint64) * PAIR)
-        spots = [(drawn >> np.uint64(BLOCK_BITS * i)) & self.mask for i in range(PROBES)]
-        return blocks.astype(np.int64), spots
-
-    def read(self, bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Level of every gram: probes until one event is missing."""
-        levels = np.zeros(len(hashes), np.int64)
-        alive, at = np.arange(len(hashes)), 1
-        while len(alive):
-            blocks, spots = self.positions(hashes[alive], np.full(len(alive), at))
-            hit = np.ones(len(alive), bool)
-            for spot in spots:
-                place = blocks * (1 << (BLOCK_BITS - 3)) + (spot >> np.uint64(3)).astype(np.int64)
-                hit &= (bits[place] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            alive = alive[hit]
-            levels[alive] = at
-            at += 1
-        return levels
-
-
-def _filled(n_blocks: int, threshold: int):
-    def fill(tables):
-        """Blocks of the grams of one counts row each; rows whose buckets share a block are joined later."""
-        place = Filter(n_blocks)
-        for batch in tables:
-            for size, packed, counts in zip(*(batch[c].to_pylist() for c in ("size", "hashes", "counts"))):
-                hashes, top = unpack_sorted(packed), level(unpack(counts, np.int64))
-                if size > 1:
-                    hashes, top = hashes[top >= threshold], top[top >= threshold]
-                events = np.repeat(hashes, top)
-                at = np.arange(len(events)) - np.repeat(np.cumsum(top) - top, top) + 1
-                blocks, spots = place.positions(events, at)
-                if not len(blocks):
-                    continue
-                first = blocks[0]
-                bits = np.zeros((int(blocks[-1] - first) + 1) << (BLOCK_BITS - 3), np.uint8)
-                for spot in spots:
-                    where = (blocks - first) * (1 << (BLOCK_BITS - 3)) + (spot >> np.uint64(3)).astype(np.int64)
-                    np.bitwise_or.at(bits, where, np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8))
-                for i, block in enumerate(bits.reshape(-1, 1 << (BLOCK_BITS - 3))):
-                    yield pa.record_batch({"block": pa.array([int(first) + i]), "bits": pa.array([block.tobytes()])})
-
-    return fill
-
-
-class Model:
-    """Broadcast to the workers: the filter's bits and four numbers."""
+def _spots(hashes: np.ndarray, levels: np.ndarray, n_bits: int):
+    """The ``PROBES`` bits of every event in a filter of ``n_bits``."""
+    drawn = mixed(hashes + levels.astype(np.uint64) * PAIR)
+    at, step = drawn & np.uint64(0xFFFFFFFF), (drawn >> np.uint64(32)) | np.uint64(1)
+    return [(at + np.uint64(i) * step) % np.uint64(n_bits) for i in range(PROBES)]
 
-    def __init__(self, bits: np.ndarray, n: int, v: int, growth: float):
-        self.bits, self.n, self.v, self.growth = bits, n, v, growth
 
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        return level_count(Filter(len(self.bits) >> (BLOCK_BITS - 3)).read(self.bits, grams))
+def filled(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Filter of some grams: an event for every level up to that of the count."""
+    top = level(counts)
+    events = np.repeat(hashes, top)
+    at = np.arange(len(events)) - np.repeat(np.cumsum(top) - top, top) + 1
+    bits = np.zeros(-(-max(64, len(events) * BITS_PER_EVENT) // 8), np.uint8)
+    for spot in _spots(events, at, 8 * len(bits)):
+        np.bitwise_or.at(bits, (spot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8))
+    return bits
 
-    def log10(self, tokens: Tokens) -> np.ndarray:
-        words, which = np.unique(tokens.grams, return_inverse=True)
-        seen = self.counts(words)
-        pairs, whose = np.unique(tokens.pairs, return_inverse=True)
-        count, before = seen[which], np.roll(seen[which], 1)
-        before[:1] = self.counts(np.array([END]))
-        both = np.minimum(np.minimum(self.counts(pairs)[whose], before), count)
-        alone = (count + 1) / (self.n + self.v + 1)
+
+def read_levels(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Level of every gram: probes until one event is missing."""
+    levels = np.zeros(len(hashes), np.int64)
+    alive, at = np.arange(len(hashes)), 1
+    while len(alive):
+        hit = np.ones(len(alive), bool)
+        for spot in _spots(hashes[alive], np.full(len(alive), at), 8 * len(bits)):
+            hit &= (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        alive = alive[hit]
+        levels[alive] = at
+        at += 1
+    return levels
+
+
+SHARDS = "bucket int, size byte, bits binary, hashes binary, counts binary"
+
+
+def _sharded(tables):
+    """The filter of every counts row; rows of words keep their exact counts beside it."""
+    for batch in tables:
+        for bucket, size, packed, counts in zip(*(batch[c].to_pylist() for c in ("bucket", "size", "hashes", "counts"))):
+            bits = filled(unpack_sorted(packed), unpack(counts, np.int64)).tobytes()
+            exact = (packed, counts) if size == 1 else (None, None)
+            row = zip(("bucket", "size", "bits", "hashes", "counts"), (bucket, size, bits, *exact))
+            kinds = (pa.int32(), pa.int8(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch({name: pa.array([x], kind) for (name, x), kind in zip(row, kinds)})
+
+
+def filter_shards(counts: DataFrame) -> DataFrame:
+    """The filter as a table: one shard per bucket and gram size, as large as its events need."""
+    return written(counts.select("bucket", "size", "hashes", "counts").mapInArrow(_sharded, SHARDS))
+
+
+class Totals:
+    """Broadcast to the workers: tokens, distinct tokens and the power of a word's count."""
+
+    def __init__(self, n: int, v: int, growth: float):
+        self.n, self.v, self.growth = n, v, growth
+
+    def log10(self, seen: np.ndarray, before: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """From the counts read for every word, the word before it and the pair of both."""
+        both = np.minimum(np.minimum(both, before), seen)
+        alone = (seen + 1) / (self.n + self.v + 1)
         types = before**self.growth
         known = before > 0
         mix = (both + types * alone) / np.where(known, before + types, 1.0)
         return np.log10(np.where(known, mix, alone))
 
 
+class Model(Totals):
+    """Totals and one filter of all grams."""
+
+    def __init__(self, bits: np.ndarray, n: int, v: int, growth: float):
+        super().__init__(n, v, growth)
+        self.bits = bits
+
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        return level_count(read_levels(self.bits, grams))
+
+
 def _growth(levels: np.ndarray, pairs: int) -> float:
     """The power of a word's count that sums to the number of distinct pairs."""
     rep = level_count(np.arange(len(levels)))
@@ -250,52 +250,56 @@ def _growth(levels: np.ndarray, pairs: int) -> float:
     return high
 
 
-def train(counts: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> Model:
-    """Fill the filter from the counts; only totals, a histogram of levels and the filter reach the driver."""
+def totals(counts: DataFrame) -> tuple[Totals, int]:
+    """The model's numbers and the events of its filter; only totals and a histogram of levels reach the driver."""
     rows = counts.select("size", "grams", "tokens", F.posexplode("levels").alias("level", "n"))
     hist = {1: np.zeros(64, np.int64), 2: np.zeros(64, np.int64)}
     for r in rows.groupBy("size", "level").agg(F.sum("n").alias("n")).collect():
         hist[r["size"]][r["level"]] += r["n"]
     n = counts.filter("size = 1").agg(F.sum("tokens")).first()[0] or 0
-    steps = np.arange(64)
-    for threshold in range(1, 64):
-        kept = np.where(steps >= threshold, hist[2], 0)
-        events = int((hist[1] * steps).sum() + (kept * steps).sum())
-        if events * BITS_PER_EVENT <= max_filter_bits:
-            break
-    n_blocks = max(16, min(max_filter_bits, events * BITS_PER_EVENT) >> BLOCK_BITS)
-    per_block = counts.select("size", "hashes", "counts").mapInArrow(_filled(n_blocks, threshold), "block long, bits binary")
-    view = np.zeros((n_blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
-    # Filled in parallel, then fetched a partition at a time: at most max_filter_bits and the few shared blocks.
-    for r in written(per_block).toLocalIterator():
-        view[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
-    return Model(view.reshape(-1), n, int(hist[1].sum()), _growth(hist[1], int(hist[2].sum())))
+    events = int(((hist[1] + hist[2]) * np.arange(64)).sum())
+    return Totals(n, int(hist[1].sum()), _growth(hist[1], int(hist[2].sum()))), events
+
+
+def train(counts: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> Model:
+    """The whole model in this process, for small corpora; an error, not a smaller model, beyond ``max_filter_bits``."""
+    found, events = totals(counts)
+    if events * BITS_PER_EVENT > max_filter_bits:
+        raise ValueError(f"a filter of {events} events has more than {max_filter_bits} bits; score_documents shards it")
+    grams = counts.select("hashes", "counts").collect()
+    hashes = [np.zeros(0, np.uint64), *(unpack_sorted(r["hashes"]) for r in grams)]
+    number = [np.zeros(0, np.int64), *(unpack(r["counts"], np.int64) for r in grams)]
+    return Model(filled(np.concatenate(hashes), np.concatenate(number)), found.n, found.v, found.growth)
 
 
 def _asked(bits: int):
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("hashes", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary())])
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        hashes = np.unique(Tokens(table["text"].to_pylist()).grams)
-        cuts = bucket_cuts(hashes, bits)
-        out = [
-            (int(b), key[0].as_py(), pack_sorted(hashes[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts))
-        ]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 3, schema)], schema)
+        tokens, out = Tokens(table["text"].to_pylist()), []
+        sizes = [(h, bucket_cuts(h, bits)) for h in (np.unique(tokens.grams), np.unique(tokens.pairs))]
+        for b in np.flatnonzero(sum(np.diff(cuts) for _, cuts in sizes)):
+            out.append((int(b), key[0].as_py(), *(pack_sorted(h[cuts[b] : cuts[b + 1]]) for h, cuts in sizes)))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 4, schema)], schema)
 
     return ask
 
 
-def _answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
-    known = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(b) for b in counts["hashes"].to_pylist())])
-    number = np.concatenate([np.zeros(0, np.int64), *(unpack(b, np.int64) for b in counts["counts"].to_pylist()), [0]])
+def _answer(asked: pa.Table, shards: pa.Table) -> pa.Table:
+    """Levels of the grams asked for, and exact counts of words."""
+    by_size = {r["size"]: r for r in shards.to_pylist()}
+    filters = [np.frombuffer(by_size[size]["bits"], np.uint8) if size in by_size else np.zeros(8, np.uint8) for size in (1, 2)]
+    known = unpack_sorted(by_size[1]["hashes"]) if 1 in by_size else np.zeros(0, np.uint64)
+    number = np.append(unpack(by_size[1]["counts"], np.int64) if 1 in by_size else np.zeros(0, np.int64), 0)
     out = []
-    for blob in asked["hashes"].to_pylist():
-        hashes = unpack_sorted(blob)
-        at = np.searchsorted(known, hashes)
-        found = np.zeros(len(hashes), bool) if not len(known) else known[np.minimum(at, len(known) - 1)] == hashes
-        out.append(pack(np.where(found, number[at], 0)))
-    return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "known": pa.array(out, pa.binary())})
+    for words, pairs in zip(asked["words"].to_pylist(), asked["pairs"].to_pylist()):
+        hashes = unpack_sorted(words), unpack_sorted(pairs)
+        at = np.searchsorted(known, hashes[0])
+        found = np.zeros(len(at), bool) if not len(known) else known[np.minimum(at, len(known) - 1)] == hashes[0]
+        levels = [pack(read_levels(f, h).astype(np.int8)) for f, h in zip(filters, hashes)]
+        out.append((pack(np.where(found, number[at], 0)), *levels))
+    counts, seen, both = (pa.array(c, pa.binary()) for c in (zip(*out) if out else [[]] * 3))
+    return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "known": counts, "words": seen, "pairs": both})
 
 
 SCORES = pa.schema(
@@ -314,12 +318,18 @@ def _scored(model):
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         m = model.value
         ids, tokens = table["id"], Tokens(table["text"].to_pylist())
-        order = np.argsort(answers["bucket"].to_numpy())
-        blobs = answers["known"].to_pylist()
-        exact = np.concatenate([np.zeros(0, np.int64), *(unpack(blobs[i], np.int64) for i in order)])
         if not len(tokens.grams):
             return pa.table([pa.array([], f.type) for f in SCORES], SCORES)
-        count = exact[np.unique(tokens.grams, return_inverse=True)[1]]
+        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        count = np.concatenate([unpack(r["known"], np.int64) for r in rows])
+        seen, both = (
+            level_count(np.concatenate([unpack(r[c], np.int8) for r in rows]).astype(np.int64)) for c in ("words", "pairs")
+        )
+        words, which = np.unique(tokens.grams, return_inverse=True)
+        whose = np.unique(tokens.pairs, return_inverse=True)[1]
+        count, seen, end = count[which], seen[which], seen[np.searchsorted(words, END)]
+        before = np.roll(seen, 1)
+        before[:1] = end
         base = np.log10((count + 1.0) / (m.n + 1.0 * (m.v + 1)))
         columns = [
             ids,
@@ -327,7 +337,7 @@ def _scored(model):
             tokens.sums((count > 0).astype(np.int64)),
             np.full(len(ids), m.n, np.int64),
             tokens.sums(base),
-            tokens.sums(m.log10(tokens)),
+            tokens.sums(m.log10(seen, before, both[whose])),
         ]
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], SCORES)
 
@@ -339,7 +349,6 @@ def score_documents(
     training: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_filter_bits: int = MAX_FILTER_BITS,
 ) -> DataFrame:
     """Train on the rows where ``training`` holds and score every row.
 
@@ -348,14 +357,13 @@ def score_documents(
     spark = docs.sparkSession
     bits = bucket_bits(spark)
     counts = gram_counts(docs.filter(training).select(F.col(text_col).alias("text")))
-    model = spark.sparkContext.broadcast(train(counts, max_filter_bits))
+    model = spark.sparkContext.broadcast(totals(counts)[0])
     chunked = document_chunks(docs, id_col, text_col, 2 * partitions(spark))
-    asked = chunked.groupBy("chunk").applyInArrow(_asked(bits), "bucket int, chunk int, hashes binary")
-    words = counts.filter("size = 1").select("bucket", "hashes", "counts")
+    asked = chunked.groupBy("chunk").applyInArrow(_asked(bits), "bucket int, chunk int, words binary, pairs binary")
     answers = (
         asked.groupBy("bucket")
-        .cogroup(words.groupBy("bucket"))
-        .applyInArrow(_answer, "chunk int, bucket int, known binary")
+        .cogroup(filter_shards(counts).groupBy("bucket"))
+        .applyInArrow(_answer, "chunk int, bucket int, known binary, words binary, pairs binary")
     )
     return (
         chunked.groupBy("chunk")

@@ -63,3 +63,18 @@ def test_empty_tables(spark):
     assert ngram_lm.score_documents(empty, F.lit(True)).collect() == []
     untrained = ngram_lm.score_documents(docs_frame(spark, [(1, "a b", None, None, 0)]), F.lit(False)).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in untrained] == [(3, 0, 0, 0.0)]
+
+
+def test_filter_grows_with_the_events_and_no_pair_is_left_out(spark):
+    rows = random_docs(vocabulary=300)
+    counts = ngram_lm.gram_counts(docs_frame(spark, rows).select("text"))
+    shards = {(r["bucket"], r["size"]): np.frombuffer(r["bits"], np.uint8) for r in ngram_lm.filter_shards(counts).collect()}
+    events = 0
+    for r in counts.collect():
+        level = ngram_lm.level(ngram_lm.unpack(r["counts"], np.int64))
+        bits = shards[r["bucket"], r["size"]]
+        assert (ngram_lm.read_levels(bits, ngram_lm.unpack_sorted(r["hashes"])) >= level).all()
+        assert len(bits) * 8 >= ngram_lm.BITS_PER_EVENT * level.sum()
+        events += level.sum()
+    with pytest.raises(ValueError):  # a cap on the whole filter is an error, not a smaller model
+        ngram_lm.train(counts, int(events) * ngram_lm.BITS_PER_EVENT - 1)

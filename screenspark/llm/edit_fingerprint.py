@@ -15,7 +15,9 @@ fingerprints is the share of equal digits in the longer one, cleared of the 1/16
 that agree by chance.
 
 Near texts: each fingerprint is entered under bands of sampled digits, at its own
-and the next level. Fingerprints that share a band and have at least
+and the next two levels, so that texts on two sides of a level still meet at two.
+A band takes its digits from one span of ``SPAN`` digits, and the spans cover the
+whole fingerprint, so texts may differ anywhere. Fingerprints that share a band and have at least
 ``threshold`` likeness are linked; components are closed over all links. Bands
 with a single fingerprint are dropped before any fingerprint is sent. A band of
 more than ``BAND_LIMIT`` different fingerprints is split by further sampled digits.
@@ -52,7 +54,8 @@ CHECK = 64  # steps between looks at which texts have ended; divides PERIOD
 LEVELS = "0123456789abcdefghijklmnopqrstuvwxyz"
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 THRESHOLD = 0.8
-BANDS, ROWS, SPAN = 6, 7, 64  # bands per level, digits of a band, digits they are drawn from
+BANDS, ROWS, SPAN = 4, 7, 32  # bands per span, digits of a band, digits they are drawn from
+RAISED = 3  # levels at which a fingerprint is entered
 BAND_LIMIT = 1 << 16
 
 
@@ -269,22 +272,31 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 @functools.cache
-def _places(rows: int, band: int, width: int) -> np.ndarray:
-    drawn = mixed(np.arange(rows, dtype=np.uint64) + np.uint64(band * 1000))
-    return (drawn % np.uint64(width)).astype(np.int64)
+def _places(rows: int, band: int, start: int, width: int) -> np.ndarray:
+    drawn = mixed(np.arange(rows, dtype=np.uint64) + np.uint64(band * 1000 + (start << 20)))
+    return start + (drawn % np.uint64(width)).astype(np.int64)
 
 
 def band_keys(fp: str, bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    """Keys under which a fingerprint meets others: sampled digits at two levels and spans."""
+    """Keys under which a fingerprint meets others: sampled digits of every span at ``RAISED`` levels.
+
+    A band of the last, partly filled span counts if all its digits are there.
+    Fingerprints below two spans also have bands in their largest power of two and half of it.
+    """
     level, digits = _split(fp)
     keys = []
-    for to in (level, level + 1):
+    for to in range(level, level + RAISED):
         x = _raised(level, digits, to)
-        span = SPAN if len(x) >= SPAN else 1 << max(0, len(x).bit_length() - 1)
-        for width in (span,) if span == SPAN else (span, span // 2):
-            for band in range(bands if width else 0):
-                taken = x[_places(rows, band, width)].tobytes()
-                keys.append(xxhash.xxh3_64_intdigest(bytes([to, width, band]) + taken))
+        spans = {(start, SPAN) for start in range(0, len(x), SPAN)}
+        if len(x) < 2 * SPAN:
+            most = 1 << max(0, len(x).bit_length() - 1)
+            spans |= {(0, width) for width in (most, most // 2) if width and len(x)}
+        for start, width in sorted(spans):
+            for band in range(bands):
+                places = _places(rows, band, start, width)
+                if places.max() < len(x):
+                    taken = x[places].tobytes()
+                    keys.append(xxhash.xxh3_64_intdigest(bytes([to, width, band]) + start.to_bytes(8, "little") + taken))
     return keys
 
 

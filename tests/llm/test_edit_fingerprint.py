@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from screenspark.llm import edit_fingerprint as E
 from tests.llm.helpers import docs_frame, random_docs
 
@@ -95,3 +97,41 @@ def test_too_large_bands_are_split(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(fps)), "doc_id long, fingerprint string")
     whole = E.near_groups(rows, band_limit=10).collect()
     assert len({r["group_id"] for r in whole}) == len({r["group_id"] for r in E.near_groups(rows).collect()})
+
+
+def _digits(pick, n):
+    return "".join(pick.choices("0123456789abcdef", k=n))
+
+
+@pytest.mark.parametrize("where", ["front", "middle", "end", "spread"])
+@pytest.mark.parametrize("n", [128, 192, 255])
+def test_bands_meet_wherever_near_texts_differ(where, n):
+    pick, met, near = random.Random(n), 0, 0
+    for _ in range(300):
+        a = _digits(pick, n)
+        k = int(0.17 * n)
+        at = {"front": 0, "middle": (n - k) // 2, "end": n - k}.get(where)
+        places = pick.sample(range(n), k) if at is None else range(at, at + k)
+        b = list(a)
+        for i in places:
+            b[i] = pick.choice("0123456789abcdef")
+        a, b = "3" + a, "3" + "".join(b)
+        if E.likeness(a, b) >= E.THRESHOLD:
+            near += 1
+            met += bool(set(E.band_keys(a)) & set(E.band_keys(b)))
+    assert near > 200 and met >= 0.95 * near
+
+
+def test_bands_meet_across_a_level_boundary():
+    pick, met, near = random.Random(4), 0, 0
+    for _ in range(600):
+        a = _digits(pick, 252)
+        level, x = E._split("3" + a)
+        raised = list(E._raised(level, x, 4).tobytes().decode())
+        for i in pick.sample(range(len(raised)), 20):
+            raised[i] = pick.choice("0123456789abcdef")
+        a, b = "3" + a, "4" + "".join(raised) + _digits(pick, 2)
+        if E.likeness(a, b) >= E.THRESHOLD:
+            near += 1
+            met += bool(set(E.band_keys(a)) & set(E.band_keys(b)))
+    assert near > 300 and met >= 0.95 * near

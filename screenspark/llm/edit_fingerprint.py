@@ -20,7 +20,9 @@ A band takes its digits from one span of ``SPAN`` digits, and the spans cover th
 whole fingerprint, so texts may differ anywhere. Fingerprints that share a band and have at least
 ``threshold`` likeness are linked; components are closed over all links. Bands
 with a single fingerprint are dropped before any fingerprint is sent. A band of
-more than ``BAND_LIMIT`` different fingerprints is split by further sampled digits.
+more than ``BAND_LIMIT`` different fingerprints is cut into blocks of about that
+many, and every two blocks are compared by themselves: no link is lost, and a task
+compares two blocks at most.
 
 Defined cases: a null text is empty; fingerprints of empty texts are alike, an
 empty and another one are not; rows that repeat an id follow each other by a hash
@@ -39,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenspark.llm.common import mixed, partitions, written
@@ -56,7 +58,7 @@ HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 THRESHOLD = 0.8
 BANDS, ROWS, SPAN = 4, 7, 32  # bands per span, digits of a band, digits they are drawn from
 RAISED = 3  # levels at which a fingerprint is entered
-BAND_LIMIT = 1 << 16
+BAND_LIMIT = 1 << 12
 
 
 def _drawn(salt: int, n: int) -> np.ndarray:
@@ -310,20 +312,21 @@ def _banded(tables):
         yield pa.record_batch({"key": pa.array(np.array(keys, np.uint64).view(np.int64)), "node": pa.array(nodes, pa.int64())})
 
 
-def _finer(limit: int):
-    """Too large bands are split by other digits of the fingerprint."""
-    kinds = (pa.int64(), pa.int64(), pa.string())
+def _cells(limit: int) -> Column:
+    """``(key, side)`` of every pair of blocks of its band that holds a row of ``key, n, node``.
 
-    def split(tables):
-        for t in tables:
-            out = []
-            for key, n, node, fp in zip(*(t[c].to_pylist() for c in ("key", "n", "node", "fp"))):
-                finer = np.array(band_keys(fp, 4, 16), np.uint64).view(np.int64).tolist() if n > limit else [0]
-                out += [(key ^ k, node, fp) for k in finer]
-            columns = zip(*out) if out else [[]] * 3
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "node", "fp"])
-
-    return split
+    Block i meets itself under one key and every other block j under another,
+    where the smaller number is side 0. A band within the limit is one block.
+    """
+    blocks = F.ceil(F.col("n") / limit)
+    own = F.pmod(F.xxhash64("node"), blocks)
+    return F.transform(
+        F.sequence(F.lit(0).cast("long"), blocks - 1),
+        lambda other: F.struct(
+            F.xxhash64("key", F.least(own, other), F.greatest(own, other)).alias("key"),
+            F.when(own == other, F.lit(-1)).otherwise((own > other).cast("int")).alias("side"),
+        ),
+    )
 
 
 def _matrix(fps: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -338,12 +341,18 @@ def _matrix(fps: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def _band_links(nodes: np.ndarray, fps: list[str], threshold: float):
-    """Links that span the components of one band; pairs of one component are not compared again."""
+def _band_links(nodes: np.ndarray, sides: np.ndarray, fps: list[str], threshold: float):
+    """Links that span the components of one band; pairs of one component are not compared again.
+
+    Of two blocks, only pairs with one fingerprint in each are compared; inside, each block is compared elsewhere.
+    """
     digits, n = _matrix(fps)
     label = np.arange(len(fps))
     for i in range(len(fps) - 1):
-        others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        apart = label[i + 1 :] != label[i]
+        if sides[i] >= 0:
+            apart &= sides[i + 1 :] != sides[i]
+        others = i + 1 + np.flatnonzero(apart)
         if not len(others):
             continue
         same = ((digits[others] == digits[i]) & (digits[others] > 0)).sum(axis=1)
@@ -355,23 +364,26 @@ def _band_links(nodes: np.ndarray, fps: list[str], threshold: float):
 
 
 def _linked(threshold: float):
+    def found(members):
+        nodes, sides, fps = zip(*members)
+        return _band_links(np.array(nodes), np.array(sides), list(fps), threshold)
+
     def link(tables):
-        key, nodes, fps = None, [], []
+        key, members = None, []
         for t in tables:
             a, b = [], []
-            for k, node, fp in zip(*(t[c].to_pylist() for c in ("key", "node", "fp"))):
+            for k, *member in zip(*(t[c].to_pylist() for c in ("key", "node", "side", "fp"))):
                 if k != key:
-                    if len(nodes) > 1:
-                        found = _band_links(np.array(nodes), fps, threshold)
-                        a += found[0].tolist()
-                        b += found[1].tolist()
-                    key, nodes, fps = k, [], []
-                nodes.append(node)
-                fps.append(fp)
+                    if len(members) > 1:
+                        links = found(members)
+                        a += links[0].tolist()
+                        b += links[1].tolist()
+                    key, members = k, []
+                members.append(member)
             yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-        if len(nodes) > 1:
-            found = _band_links(np.array(nodes), fps, threshold)
-            yield pa.record_batch({"a": pa.array(found[0]), "b": pa.array(found[1])})
+        if len(members) > 1:
+            links = found(members)
+            yield pa.record_batch({"a": pa.array(links[0]), "b": pa.array(links[1])})
 
     return link
 
@@ -387,9 +399,9 @@ def near_groups(rows: DataFrame, threshold: float = THRESHOLD, band_limit: int =
     # Tables on both sides of a join are written, so that it can split a hot key.
     keys = written(nodes.select("node", "fp").mapInArrow(_banded, "key long, node long"))
     sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = keys.join(sizes, "key").join(nodes.select("node", "fp"), "node").select("key", "n", "node", "fp")
-    split = met.mapInArrow(_finer(band_limit), "key long, node long, fp string")
-    grouped = split.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
+    cells = keys.join(sizes, "key").select("node", F.inline(_cells(band_limit)))
+    met = cells.join(nodes.select("node", "fp"), "node").select("key", "node", "side", "fp")
+    grouped = met.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
     root = stars(grouped.mapInArrow(_linked(threshold), "a long, b long"))
     placed = written(
         nodes.join(root, F.col("node") == F.col("a"), "left").select("fp", "least", F.coalesce("b", "node").alias("root"))

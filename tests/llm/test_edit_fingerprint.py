@@ -135,3 +135,45 @@ def test_bands_meet_across_a_level_boundary():
             near += 1
             met += bool(set(E.band_keys(a)) & set(E.band_keys(b)))
     assert near > 300 and met >= 0.95 * near
+
+
+def test_large_bands_keep_every_link(spark):
+    """All digits but the last 44 are the same, so no further digits split a band; each pair differs in a few."""
+    pick, fps = random.Random(5), []
+    same = _digits(pick, 84)
+    for _ in range(15):
+        tail = _digits(pick, 44)
+        for _ in range(4):
+            other = list(tail)
+            for at in pick.sample(range(44), 6):
+                other[at] = pick.choice("0123456789abcdef")
+            fps.append("3" + same + "".join(other))
+    near = [(i, j) for i in range(60) for j in range(i) if E.likeness(fps[i], fps[j]) >= E.THRESHOLD]
+    rows = spark.createDataFrame(list(enumerate(fps)), "doc_id long, fingerprint string")
+    group = dict(map(tuple, E.near_groups(rows, band_limit=8).collect()))
+    assert len(near) > 60 and all(group[fps[i]] == group[fps[j]] for i, j in near)
+    cells = spark.createDataFrame([(1, 40, n) for n in range(40)], "key long, n long, node long").select(
+        "node", E.F.inline(E._cells(8))
+    )
+    members = {}
+    for r in cells.collect():
+        members.setdefault(r["key"], []).append((r["node"], r["side"]))
+    pairs = [
+        frozenset((a, b)) for m in members.values() for a, s in m for b, t in m if a < b and (s < 0 or s != t)
+    ]
+    assert len(pairs) == len(set(pairs)) == 40 * 39 // 2
+    assert max(map(len, members.values())) < 40
+
+
+def test_splitting_every_band_changes_no_group(spark):
+    pick, fps = random.Random(6), []
+    for _ in range(30):
+        a = _digits(pick, 160)
+        b = list(a)
+        for at in pick.sample(range(160), 26):
+            b[at] = pick.choice("0123456789abcdef")
+        fps += ["3" + a, "3" + "".join(b)]
+    rows = spark.createDataFrame(list(enumerate(fps)), "doc_id long, fingerprint string")
+    whole = sorted(map(tuple, E.near_groups(rows).collect()))
+    assert len({g for _, g in whole}) == 30
+    assert sorted(map(tuple, E.near_groups(rows, band_limit=1).collect())) == whole

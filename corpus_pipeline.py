@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each written and read again.
 
 1. Language ID learns from the labelled rows and drops texts without a letter and
-   texts that no language explains (cosine below ``MIN_SCORE``).
+   texts whose letter trigrams the labelled rows do not know.
 2. Line dedup cuts later copies of repeated line runs; emptied documents stay.
 3. SimHash near-dedup keeps the document with the smallest id of each group.
 4. Mixing repeats or leaves out documents until every source has its share.
@@ -20,12 +20,12 @@ from screenspark.llm import language_id, line_dedup, mixing, pieces, simhash
 from screenspark.llm.common import written
 from screenspark.plans.frames import table
 
-MIN_SCORE = 0.03
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs, ~language_id.held_out(F.col("doc_id")), keep=docs.columns)
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    training = ~language_id.held_out(F.col("doc_id"))
+    found = language_id.identify(docs, training, keep=docs.columns)
+    named = found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    return language_id.explained(named, docs.filter(training))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

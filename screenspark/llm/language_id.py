@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from screenspark.llm.common import remainder
 
@@ -206,3 +206,63 @@ def identify(
 
 def held_out(doc_id: Column) -> Column:
     return remainder(doc_id, 4) == 2
+
+
+# ---- texts that no learned language explains ------------------------------------------------
+
+
+def _packed(grams: np.ndarray) -> np.ndarray:
+    """Three letters of 21 bits each as one number."""
+    letters = grams.astype(np.int64)
+    return (letters[:, 0] << 42) | (letters[:, 1] << 21) | letters[:, 2]
+
+
+def _documents_with(tables):
+    """Number of documents of each trigram, block by block."""
+    for rows in _blocks(tables, "text"):
+        owner, which, grams = trigrams([t for (t,) in rows])
+        if len(grams):
+            once = np.unique(owner * len(grams) + which) % len(grams)
+            n = np.bincount(once, minlength=len(grams))
+            yield pa.record_batch({"gram": pa.array(_packed(grams)), "n": pa.array(n.astype(np.int64))})
+
+
+def _known_counted(known):
+    def count(tables):
+        every = known.value
+        for table in tables:
+            total, found = [], []
+            for rows in _blocks([table], "text"):
+                owner, which, grams = trigrams([t or "" for (t,) in rows])
+                hit = np.isin(_packed(grams), every)[which]
+                total.append(np.bincount(owner, minlength=len(rows)))
+                found.append(np.bincount(owner[hit], minlength=len(rows)))
+            counts = [pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64)) for c in (total, found)]
+            yield pa.record_batch([*table.columns, *counts], names=[*table.schema.names, "__trigrams", "__known"])
+
+    return count
+
+
+def explained(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose trigrams the labelled rows of ``training`` know; both have ``text`` and ``lang``.
+
+    A trigram is known if two labelled rows have it, so that a row does not vouch
+    for itself. The share that a text needs is half of what the labelled rows reach
+    but for one in a hundred; a text falls short if chance does not explain it (three
+    deviations of so many draws, which short texts seldom exceed), or if it knows none.
+    """
+    spark = docs.sparkSession
+    labelled = training.select("text", "lang").dropna().select("text")
+    counts = labelled.mapInArrow(_documents_with, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    known = np.sort(counts.filter("n > 1").select("gram").toArrow()["gram"].to_numpy())
+    known = spark.sparkContext.broadcast(known)
+
+    def counted(df: DataFrame) -> DataFrame:
+        added = [StructField(name, LongType()) for name in ("__trigrams", "__known")]
+        return df.mapInArrow(_known_counted(known), StructType([*df.schema.fields, *added]))
+
+    shares = counted(labelled).filter("__trigrams > 0").select((F.col("__known") / F.col("__trigrams")).alias("share"))
+    need = (shares.agg(F.percentile_approx("share", 0.01, 10_000)).first()[0] or 0.0) / 2
+    n = F.col("__trigrams")
+    least = n * need - 3 * F.sqrt(n * need * (1 - need))
+    return counted(docs).filter((F.col("__known") > 0) & (F.col("__known") >= least)).select(*docs.columns)

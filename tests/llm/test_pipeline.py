@@ -1,5 +1,6 @@
 """Every stage on the odd rows against a brute-force version of itself, and the whole run on a small table."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -12,6 +13,7 @@ from tests.llm.test_mixing import slow_mix
 from tests.llm.test_simhash import slow_components, slow_fingerprint
 
 STAGE = dict(corpus_pipeline.STAGES)
+COLUMNS_OF = [c.split()[0] for c in COLUMNS.split(", ")]
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +70,19 @@ def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert got and all(r["n_pieces"] == len(r["ids"]) for r in got)
     assert max(Counter(r["doc_id"] for r in got).values()) == 2
+
+
+def test_language_drops_unseen_scripts_and_keeps_short_clean_texts(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    clean = spark.read.parquet(path).select(*COLUMNS_OF)
+    words = sorted({w for r in clean.limit(200).collect() for w in (r["text"] or "").split() if w.isalpha() and len(w) > 2})
+    pick = random.Random(1)
+    scripts = ["абвгдежзиклмнопрст", "αβγδεζηθικλμνξ", "的一是在不了有和人这中大为上个国"]
+    unseen = [" ".join("".join(pick.choices(s, k=6)) for _ in range(n)) for s in scripts for n in (1, 20, 300) for _ in range(5)]
+    short = pick.choices(words, k=100)
+    odd = [(10**9 + i, t, None, "odd", len(t)) for i, t in enumerate(unseen + short)]
+    docs = clean.unionByName(spark.createDataFrame(odd, COLUMNS))
+    kept = {r["doc_id"] for r in STAGE["language"](spark, docs, "").collect()}
+    assert not kept & {r[0] for r in odd[: len(unseen)]}
+    assert len(kept & {r[0] for r in odd[len(unseen) :]}) >= 99
+    assert len(kept) >= 0.99 * clean.count()

@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenspark.llm import edit_fingerprint, exact_dedup, language_id, line_dedup, mixing, ngram_lm, pieces, simhash, substring_dedup, warc
+from screenspark.llm import (
+    edit_fingerprint,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    mixing,
+    ngram_lm,
+    pieces,
+    resampling,
+    simhash,
+    substring_dedup,
+    warc,
+)
 from screenspark.llm.common import written
 from screenspark.plans.frames import table
 from screenspark.plans.registry import query
@@ -88,3 +100,8 @@ def archives(spark: SparkSession, folder: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     found = pieces.decode(pieces.encode(table(spark, folder, "documents")))
     return found.select("doc_id", F.size("ids").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op13_importance_resampling")
+def importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

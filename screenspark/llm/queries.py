@@ -13,6 +13,8 @@ from screenspark.llm import (
     mixing,
     ngram_lm,
     pieces,
+    quality,
+    ranked_search,
     resampling,
     simhash,
     substring_dedup,
@@ -105,3 +107,14 @@ def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_importance_resampling")
 def importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.judged_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
+@query("op11_ranked_search", ranked_search.SQL)
+def ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build_index(table(spark, folder, "documents")), table(spark, folder, "benchmark"))

@@ -9,9 +9,10 @@ by its share. The draws come from the row key, so a row is always cut the same w
 
 No piece reaches over a space that follows another character, so the lattice falls
 apart into chunks (spaces and the word after them). Forward sums are computed once
-per distinct chunk of a batch, for all chunks side by side; sampling runs for all
+per distinct chunk of a block, for all chunks side by side; sampling runs for all
 chunk occurrences side by side. A vocabulary in which a piece does reach over is
-refused.
+refused. A block has ``BATCH_CHARS`` characters of some rows, or of a part of a long
+text that ends between two chunks; only a chunk (a word) is never cut.
 
 Decoding joins the pieces' bytes. It restores every text exactly: spaces are the
 only characters written as the space mark, a space mark in a text is written in
@@ -44,7 +45,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS, SEED = 1.0, 11
 SPACE, LITERAL = 0x2581, 0x110001  # the space mark, and a stand-in for one that the text itself holds
 CHUNK = re.compile(r" *[^ \n]+| +|\n+")
-BATCH_CHARS = 1 << 21  # bounds a task's lattice to some 100 MB
+BATCH_CHARS = 1 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MAX_MODEL_BYTES = 64 << 20
 ALL = (1 << 64) - 1
@@ -213,8 +214,10 @@ def _utf8(code: int) -> bytes:
     return chr(code).encode()
 
 
-def encode_texts(texts: list[str], keys: np.ndarray, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids of each text, and all ids."""
+def encode_texts(
+    texts: list[str], keys: np.ndarray, voc: Vocabulary, before: np.ndarray | int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each text, and all ids; ``before`` counts the chunks of its row before each text."""
     chunks = [CHUNK.findall(t) for t in texts]
     per_text = np.fromiter(map(len, chunks), np.int64, len(chunks))
     if not per_text.any():
@@ -223,7 +226,7 @@ def encode_texts(texts: list[str], keys: np.ndarray, voc: Vocabulary) -> tuple[n
     number: dict[str, int] = defaultdict(itertools.count().__next__)
     which = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
     lattice = Lattice(list(number), voc)
-    nth = np.arange(len(every)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    nth = np.arange(len(every)) - np.repeat(np.cumsum(per_text) - per_text - before, per_text)
     key = mixed(np.repeat(keys, per_text) ^ mixed(nth.astype(np.uint64)))
     count, edges = lattice.sample(which, key)
     ids = lattice.piece[edges]
@@ -251,25 +254,61 @@ def _vocabulary(model, sharpness: float) -> Vocabulary:
     return _LOADED[key]
 
 
-def _blocks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    sizes = np.fromiter((len(t or "") for t in batch[column].to_pylist()), np.int64, batch.num_rows)
-    block = (np.cumsum(sizes) - sizes) // BATCH_CHARS
-    for a, b in itertools.pairwise([*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), batch.num_rows]):
-        yield batch.slice(a, b - a)
+def _parts(text: str) -> Iterator[tuple[str, int]]:
+    """A text cut between chunks into parts of some ``BATCH_CHARS`` characters, and the number of chunks before each."""
+    if len(text) <= BATCH_CHARS:
+        yield text, 0
+        return
+    begin, before = 0, 0
+    for n, chunk in enumerate(CHUNK.finditer(text)):
+        if chunk.end() - begin > BATCH_CHARS and chunk.start() > begin:
+            yield text[begin : chunk.start()], before
+            begin, before = chunk.start(), n
+    yield text[begin:], before
+
+
+def _row_ids(texts: list[str | None], keys: list[int], voc: Vocabulary) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """For some rows at a time: the row behind the last one, the number of ids of each row, and the ids in order."""
+    rows, parts, before, size = [], [], [], 0
+    first, counts, found = 0, np.zeros(len(texts), np.int64), []
+    for row, text in enumerate(texts):
+        for part, n in _parts(text or ""):
+            rows.append(row)
+            parts.append(part)
+            before.append(n)
+            size += len(part)
+            if size >= BATCH_CHARS:
+                count, ids = encode_texts(parts, np.array([keys[r] for r in rows], np.uint64), voc, np.array(before))
+                np.add.at(counts, rows, count)
+                found.append(ids)
+                rows, parts, before, size = [], [], [], 0
+        if found and not parts:
+            yield row + 1, counts[first : row + 1], found
+            first, found = row + 1, []
+    if parts:
+        count, ids = encode_texts(parts, np.array([keys[r] for r in rows], np.uint64), voc, np.array(before))
+        np.add.at(counts, rows, count)
+        found.append(ids)
+    if first < len(texts):
+        yield len(texts), counts[first:], found
 
 
 def _encoded(model, sharpness: float, seed: int):
     def encode(tables):
         voc = _vocabulary(model, sharpness)
         for batch in tables:
-            for part in _blocks(batch, "text"):
-                texts = part["text"].to_pylist()
-                keys = [xxhash.xxh3_64_intdigest(k or "", seed) for k in part["key"].to_pylist()]
-                count, ids = encode_texts([t or "" for t in texts], np.array(keys, np.uint64), voc)
-                ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=pa.array([t is None for t in texts]))
-                kept = [c for c in part.schema.names if c not in ("key", "text")]
+            texts = batch["text"].to_pylist()
+            keys = [xxhash.xxh3_64_intdigest(k or "", seed) for k in batch["key"].to_pylist()]
+            kept, first = [c for c in batch.schema.names if c not in ("key", "text")], 0
+            for end, counts, found in _row_ids(texts, keys, voc):
+                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                null = pa.array([t is None for t in texts[first:end]])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)), mask=null)
+                part = batch.slice(first, end - first)
                 yield pa.record_batch([*(part[c] for c in kept), lists], names=[*kept, "ids"])
+                first = end
+                del found, lists
+                pa.default_memory_pool().release_unused()
 
     return encode
 

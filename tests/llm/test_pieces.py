@@ -61,6 +61,22 @@ def test_batches_do_not_change_the_cut(monkeypatch, spark):
     assert ids.tolist() == [x for _, p in parts for x in p.tolist()]
 
 
+@pytest.mark.parametrize("size", [1, 10, 1000])
+def test_texts_cut_between_chunks_keep_their_ids(monkeypatch, size):
+    texts = [*(r[1] for r in random_docs()), " " * 40, "\n\n  \n x" * 20]
+    keys = list(range(len(texts)))
+
+    def every():
+        ends, counts, ids = zip(*P._row_ids(texts, keys, VOC))
+        assert ends[-1] == len(texts) and all(len(c) == b - a for a, b, c in zip((0, *ends), ends, counts))
+        return np.concatenate(counts).tolist(), np.concatenate([x for part in ids for x in part]).tolist()
+
+    whole = every()
+    monkeypatch.setattr(P, "BATCH_CHARS", size)
+    assert every() == whole
+    assert all("".join(p for p, _ in P._parts(t or "")) == (t or "") for t in texts)
+
+
 def test_kept_columns_and_empty_table(spark):
     docs = docs_frame(spark, [(1, "a b", "en", "s", 0)])
     assert P.encode(docs, keep=["source", "key"]).select("source", "key").first() == ("s", "d")

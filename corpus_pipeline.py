@@ -22,10 +22,7 @@ from screenspark.plans.frames import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    training = ~language_id.held_out(F.col("doc_id"))
-    found = language_id.identify(docs, training, keep=docs.columns)
-    named = found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
-    return language_id.explained(named, docs.filter(training))
+    return language_id.in_known_languages(docs, ~language_id.held_out(F.col("doc_id")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

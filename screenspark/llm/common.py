@@ -100,9 +100,19 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
-def bucket_bits(spark: SparkSession) -> int:
-    """Leading hash bits that make about two buckets per shuffle partition."""
-    return max(4, (2 * partitions(spark) - 1).bit_length())
+CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+
+
+def chunk_plan(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """Chunks to deal documents into, and leading hash bits that name a bucket.
+
+    Both grow with the text: a chunk has some ``CHUNK_BYTES`` of it, a bucket what
+    ``BUCKET_BYTES`` of it give; there are at least two of each per shuffle partition.
+    """
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    least = 2 * partitions(docs.sparkSession)
+    chunks, buckets = max(least, -(-total // CHUNK_BYTES)), max(least, -(-total // BUCKET_BYTES), 16)
+    return chunks, (buckets - 1).bit_length()
 
 
 def bucket_cuts(hashes: np.ndarray, bits: int) -> np.ndarray:

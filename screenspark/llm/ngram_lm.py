@@ -3,33 +3,38 @@
 Word and word-pair counts of the training texts are quantised to levels of their
 logarithm. A gram of level q is entered into a Bloom filter q times, as (gram, 1)
 to (gram, q); a lookup probes level after level until one is missing and so reads
-the level back, never too low. The filter has ``BITS_PER_EVENT`` bits for every
-event of every word and pair, so it grows with the corpus. It is a table of shards,
-one for each bucket of leading hash bits and gram size; neither the driver nor a
-worker holds it whole.
+the level back, never too low. A level stands for the mean count of its grams in the
+corpus. The filter has ``BITS_PER_EVENT`` bits for every event of every word and pair,
+so it grows with the corpus. It is a table of shards, one for each bucket of leading
+hash bits and gram size; neither the driver nor a worker holds it whole. This departs
+from a broadcast filter, which would need a bound: chunks of documents send the shards
+their distinct words and pairs and get levels back, and for words the exact counts that
+the base score needs.
 
 Counting: every batch of documents sends its distinct grams with their counts to
-the bucket of their leading hash bits, where they are summed. All counts go into
-the table of counts, and all grams into the filter.
+the bucket of their leading hash bits, where they are summed and entered.
 
 Model, with c the counts read back from the filter, N tokens, V distinct tokens::
 
     P(w)   = (c(w) + 1) / (N + V + 1)
-    P(w|u) = (c(u w) + t(u) P(w)) / (c(u) + t(u)),   t(u) = c(u) ** growth
+    P(w|u) = (b(u w) c(u w) + t(u) P(w)) / (c(u) + t(u)),   t(u) = c(u) ** growth
 
-Interpolation weights grow with the number of distinct words that follow u, which
-is modelled as a power of its count; ``growth`` is the power at which these add up
-to the number of distinct pairs in the corpus. c(u w) never exceeds c(u) or c(w).
-The score of a text is the sum of log10 P(w|u) over its words and the end token;
-the first word follows an end token.
+t(u) models the number of distinct words that follow u as a power of its count, at
+which these add up to the number of distinct pairs in the corpus. The filter answers
+yes for a share f of the pairs that it does not hold, f V words for every u, which would
+make P(.|u) add up to far more than 1 after a rare u. So a pair of the lowest level, the
+only one at which such answers matter, counts with the chance that it is a true one::
 
-Each chunk of documents asks the buckets for its distinct words and pairs and gets
-back the levels that the shards hold, and for words the exact counts that the base
-score needs: no dictionary and no filter is broadcast.
+    b(u w) = t1(u) / (t1(u) + f V),   t1(u) = c(u) ** growth1
+
+where t1 models the followers seen once in the same way and f comes from the share of
+bits that are set. P(w) adds up to 1 over all words and one unknown one, P(w|u) nearly
+(tested to a tenth). c(u w) never exceeds c(u) or c(w). The score of a text is the sum of
+log10 P(w|u) over its words and the end token; the first word follows an end token.
 
 Defined cases: a null or empty text is one end token; a null id is a training
 row; an empty table gives an empty result; without training rows every count is
-0. Words are told apart by 64-bit hashes. Other columns are ignored.
+0. Words are told apart by 64-bit hashes, pairs by 48 bits. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,13 +48,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenspark.llm.common import (
-    bucket_bits,
     bucket_cuts,
+    chunk_plan,
     document_chunks,
     mixed,
     pack,
     pack_sorted,
-    partitions,
     remainder,
     unpack,
     unpack_sorted,
@@ -59,10 +63,10 @@ from screenspark.llm.common import (
 
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end token
 PAIR = np.uint64(0x9E3779B97F4A7C15)
-LEVEL_BASE = 1.5
-PROBES = 4
-BITS_PER_EVENT = 8
-MAX_FILTER_BITS = 96 << 23  # 96 MB: the largest filter that ``train`` gathers
+LEVEL_BASE = 1.25
+BITS_PER_EVENT, PROBES = 30, 21
+LEVELS = 128
+PAIR_BITS = np.uint64(0xFFFFFFFFFFFF0000)  # a pair's leading 48 bits: they travel at two thirds of the size
 BATCH_BYTES = 8 << 20
 
 
@@ -79,7 +83,7 @@ class Tokens:
         self.grams[inner] = word_hashes(list(itertools.chain.from_iterable(words)))
         self.before = np.roll(self.grams, 1)  # every text follows an end token
         self.before[:1] = END
-        self.pairs = mixed(self.before * PAIR + self.grams)
+        self.pairs = mixed(self.before * PAIR + self.grams) & PAIR_BITS
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.ends - self.lengths)
@@ -120,46 +124,51 @@ def level(counts: np.ndarray) -> np.ndarray:
     return (np.floor(np.log(counts) / math.log(LEVEL_BASE) + 1e-9) + 1).astype(np.int64)
 
 
-def level_count(levels: np.ndarray) -> np.ndarray:
-    """The count a level stands for: the middle of its whole numbers, 0 for level 0."""
-    low = np.ceil(LEVEL_BASE ** (levels - 1.0) - 1e-9)
-    high = np.maximum(low, np.ceil(LEVEL_BASE**levels - 1e-9) - 1)
-    return np.where(levels > 0, (low + high) / 2, 0.0)
+SHARD = pa.schema(
+    [
+        ("bucket", pa.int32()),
+        ("size", pa.int8()),
+        ("tokens", pa.int64()),
+        ("grams", pa.list_(pa.int64())),  # by level
+        ("mass", pa.list_(pa.int64())),  # their counts
+        ("set_bits", pa.int64()),
+        ("bits", pa.binary()),
+        ("hashes", pa.binary()),  # of words, with their exact counts
+        ("counts", pa.binary()),
+    ]
+)
+SHARD_KINDS = "bucket int, size byte, tokens long, grams array<long>, mass array<long>, set_bits long, bits binary, hashes binary, counts binary"
 
 
-def _summed(table: pa.Table) -> pa.Table:
+def _shard(table: pa.Table) -> pa.Table:
+    """The summed counts of one bucket and gram size, entered into their filter."""
     hashes = np.concatenate([unpack_sorted(b) for b in table["hashes"].to_pylist()])
     counts = np.concatenate([unpack(b, np.int64) for b in table["counts"].to_pylist()])
     order = np.argsort(hashes, kind="stable")
     ranked = hashes[order]
     first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     total = np.add.reduceat(counts[order], first)
-    levels = np.bincount(level(total), minlength=1)
-    return pa.table(
-        {
-            "bucket": table["bucket"][:1],
-            "size": table["size"][:1],
-            "grams": pa.array([len(first)], pa.int64()),
-            "tokens": pa.array([int(total.sum())], pa.int64()),
-            "levels": pa.array([levels.tolist()], pa.list_(pa.int64())),
-            "hashes": pa.array([pack_sorted(ranked[first])], pa.binary()),
-            "counts": pa.array([pack(total)], pa.binary()),
-        }
+    bits, levels, size = filled(ranked[first], total), level(total), table["size"][0].as_py()
+    exact = (pack_sorted(ranked[first]), pack(total)) if size == 1 else (None, None)
+    row = (
+        table["bucket"][0].as_py(),
+        size,
+        int(total.sum()),
+        np.bincount(levels, minlength=LEVELS).tolist(),
+        np.bincount(levels, total, LEVELS).astype(np.int64).tolist(),
+        int(np.bitwise_count(bits).sum()),
+        bits.tobytes(),
+        *exact,
     )
+    return pa.table([pa.array([x], f.type) for x, f in zip(row, SHARD)], SHARD)
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """Exact counts of all words and pairs in packed form: one row per bucket and gram size."""
-    bits = bucket_bits(texts.sparkSession)
+def filter_shards(texts: DataFrame, bits: int) -> DataFrame:
+    """The filter of all words and pairs as a written table: a shard per bucket and gram size, as large as its events need."""
     counted = texts.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).mapInArrow(
         _counted(bits), "bucket int, size byte, hashes binary, counts binary"
     )
-    return written(
-        counted.groupBy("bucket", "size").applyInArrow(
-            _summed,
-            "bucket int, size byte, grams long, tokens long, levels array<long>, hashes binary, counts binary",
-        )
-    )
+    return written(counted.groupBy("bucket", "size").applyInArrow(_shard, SHARD_KINDS))
 
 
 def _spots(hashes: np.ndarray, levels: np.ndarray, n_bits: int):
@@ -194,82 +203,47 @@ def read_levels(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return levels
 
 
-SHARDS = "bucket int, size byte, bits binary, hashes binary, counts binary"
-
-
-def _sharded(tables):
-    """The filter of every counts row; rows of words keep their exact counts beside it."""
-    for batch in tables:
-        for bucket, size, packed, counts in zip(*(batch[c].to_pylist() for c in ("bucket", "size", "hashes", "counts"))):
-            bits = filled(unpack_sorted(packed), unpack(counts, np.int64)).tobytes()
-            exact = (packed, counts) if size == 1 else (None, None)
-            row = zip(("bucket", "size", "bits", "hashes", "counts"), (bucket, size, bits, *exact))
-            kinds = (pa.int32(), pa.int8(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.record_batch({name: pa.array([x], kind) for (name, x), kind in zip(row, kinds)})
-
-
-def filter_shards(counts: DataFrame) -> DataFrame:
-    """The filter as a table: one shard per bucket and gram size, as large as its events need."""
-    return written(counts.select("bucket", "size", "hashes", "counts").mapInArrow(_sharded, SHARDS))
-
-
-class Totals:
-    """Broadcast to the workers: tokens, distinct tokens and the power of a word's count."""
+class Model:
+    """What the workers know of the whole corpus: totals, powers, the filter's errors, and the mean count of every level."""
 
-    def __init__(self, n: int, v: int, growth: float):
-        self.n, self.v, self.growth = n, v, growth
+    def __init__(self, grams: dict[int, np.ndarray], mass: dict[int, np.ndarray], false_rate: float):
+        self.mean = {size: np.where(grams[size] > 0, mass[size] / np.maximum(1, grams[size]), 0.0) for size in (1, 2)}
+        self.n, self.v = int(mass[1].sum()), int(grams[1].sum())
+        self.false_followers = false_rate * self.v
+        self.growth = _growth(grams[1], self.mean[1], int(grams[2].sum()))
+        self.growth1 = _growth(grams[1], self.mean[1], int(grams[2][1]))
 
     def log10(self, seen: np.ndarray, before: np.ndarray, both: np.ndarray) -> np.ndarray:
-        """From the counts read for every word, the word before it and the pair of both."""
-        both = np.minimum(np.minimum(both, before), seen)
-        alone = (seen + 1) / (self.n + self.v + 1)
-        types = before**self.growth
-        known = before > 0
-        mix = (both + types * alone) / np.where(known, before + types, 1.0)
+        """From the levels read for every word, the word before it and the pair of both."""
+        word, context = self.mean[1][seen], self.mean[1][before]
+        pair = np.minimum(np.minimum(self.mean[2][both], context), word)
+        once = context**self.growth1
+        pair = np.where(both == 1, pair * once / np.maximum(once + self.false_followers, 1e-300), pair)
+        alone = (word + 1) / (self.n + self.v + 1)
+        types = context**self.growth
+        known = context > 0
+        mix = (pair + types * alone) / np.where(known, context + types, 1.0)
         return np.log10(np.where(known, mix, alone))
 
 
-class Model(Totals):
-    """Totals and one filter of all grams."""
-
-    def __init__(self, bits: np.ndarray, n: int, v: int, growth: float):
-        super().__init__(n, v, growth)
-        self.bits = bits
-
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        return level_count(read_levels(self.bits, grams))
-
-
-def _growth(levels: np.ndarray, pairs: int) -> float:
-    """The power of a word's count that sums to the number of distinct pairs."""
-    rep = level_count(np.arange(len(levels)))
+def _growth(grams: np.ndarray, mean: np.ndarray, followers: int) -> float:
+    """The power of a word's count that sums to the number of distinct followers of all words."""
     low, high = 0.0, 1.0
     for _ in range(50):
         mid = (low + high) / 2
-        low, high = (mid, high) if float((levels * np.where(rep > 0, rep, 1) ** mid).sum()) < pairs else (low, mid)
+        low, high = (mid, high) if float((grams * np.where(mean > 0, mean, 1.0) ** mid).sum()) < followers else (low, mid)
     return high
 
 
-def totals(counts: DataFrame) -> tuple[Totals, int]:
-    """The model's numbers and the events of its filter; only totals and a histogram of levels reach the driver."""
-    rows = counts.select("size", "grams", "tokens", F.posexplode("levels").alias("level", "n"))
-    hist = {1: np.zeros(64, np.int64), 2: np.zeros(64, np.int64)}
-    for r in rows.groupBy("size", "level").agg(F.sum("n").alias("n")).collect():
-        hist[r["size"]][r["level"]] += r["n"]
-    n = counts.filter("size = 1").agg(F.sum("tokens")).first()[0] or 0
-    events = int(((hist[1] + hist[2]) * np.arange(64)).sum())
-    return Totals(n, int(hist[1].sum()), _growth(hist[1], int(hist[2].sum()))), events
-
-
-def train(counts: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> Model:
-    """The whole model in this process, for small corpora; an error, not a smaller model, beyond ``max_filter_bits``."""
-    found, events = totals(counts)
-    if events * BITS_PER_EVENT > max_filter_bits:
-        raise ValueError(f"a filter of {events} events has more than {max_filter_bits} bits; score_documents shards it")
-    grams = counts.select("hashes", "counts").collect()
-    hashes = [np.zeros(0, np.uint64), *(unpack_sorted(r["hashes"]) for r in grams)]
-    number = [np.zeros(0, np.int64), *(unpack(r["counts"], np.int64) for r in grams)]
-    return Model(filled(np.concatenate(hashes), np.concatenate(number)), found.n, found.v, found.growth)
+def model(shards: DataFrame) -> Model:
+    """Only sums and histograms of levels reach the driver."""
+    rows = shards.select("size", F.posexplode(F.arrays_zip("grams", "mass")).alias("level", "x"))
+    grams, mass = ({1: np.zeros(LEVELS, np.int64), 2: np.zeros(LEVELS, np.int64)} for _ in range(2))
+    for r in rows.groupBy("size", "level").agg(F.sum("x.grams").alias("grams"), F.sum("x.mass").alias("mass")).collect():
+        grams[r["size"]][r["level"]], mass[r["size"]][r["level"]] = r["grams"], r["mass"]
+    pairs = shards.filter("size = 2").agg(F.sum("set_bits"), F.sum(F.length("bits"))).first()
+    share = pairs[0] / (8 * pairs[1]) if pairs[1] else 0.0
+    return Model(grams, mass, share**PROBES)
 
 
 def _asked(bits: int):
@@ -322,9 +296,7 @@ def _scored(model):
             return pa.table([pa.array([], f.type) for f in SCORES], SCORES)
         rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
         count = np.concatenate([unpack(r["known"], np.int64) for r in rows])
-        seen, both = (
-            level_count(np.concatenate([unpack(r[c], np.int8) for r in rows]).astype(np.int64)) for c in ("words", "pairs")
-        )
+        seen, both = (np.concatenate([unpack(r[c], np.int8) for r in rows]).astype(np.int64) for c in ("words", "pairs"))
         words, which = np.unique(tokens.grams, return_inverse=True)
         whose = np.unique(tokens.pairs, return_inverse=True)[1]
         count, seen, end = count[which], seen[which], seen[np.searchsorted(words, END)]
@@ -355,21 +327,21 @@ def score_documents(
     Result: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
     """
     spark = docs.sparkSession
-    bits = bucket_bits(spark)
-    counts = gram_counts(docs.filter(training).select(F.col(text_col).alias("text")))
-    model = spark.sparkContext.broadcast(totals(counts)[0])
-    chunked = document_chunks(docs, id_col, text_col, 2 * partitions(spark))
+    chunks, bits = chunk_plan(docs, text_col)
+    shards = filter_shards(docs.filter(training).select(F.col(text_col).alias("text")), bits)
+    known = spark.sparkContext.broadcast(model(shards))
+    chunked = document_chunks(docs, id_col, text_col, chunks)
     asked = chunked.groupBy("chunk").applyInArrow(_asked(bits), "bucket int, chunk int, words binary, pairs binary")
     answers = (
         asked.groupBy("bucket")
-        .cogroup(filter_shards(counts).groupBy("bucket"))
+        .cogroup(shards.select("bucket", "size", "bits", "hashes", "counts").groupBy("bucket"))
         .applyInArrow(_answer, "chunk int, bucket int, known binary, words binary, pairs binary")
     )
     return (
         chunked.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
         .applyInArrow(
-            _scored(model),
+            _scored(known),
             "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double",
         )
     )

@@ -34,13 +34,12 @@ from pyspark.sql import functions as F
 
 from screenspark.llm.common import (
     LARGEST_ID,
-    bucket_bits,
     bucket_cuts,
+    chunk_plan,
     document_chunks,
     mixed,
     pack,
     pack_sorted,
-    partitions,
     unpack,
     unpack_sorted,
     word_hashes,
@@ -166,9 +165,8 @@ def remove_repeated_windows(
     Result: ``doc_id``, ``n_words``, ``n_removed``, ``kept``, ``spans`` (half-open
     word ranges, maximal and in order).
     """
-    spark = docs.sparkSession
-    bits = bucket_bits(spark)
-    chunked = document_chunks(docs, id_col, text_col, 2 * partitions(spark))
+    chunks, bits = chunk_plan(docs, text_col)
+    chunked = document_chunks(docs, id_col, text_col, chunks)
     asked = chunked.groupBy("chunk").applyInArrow(
         _asked(window, bits), "bucket int, chunk int, hashes binary, ids binary"
     )
@@ -185,3 +183,17 @@ def remove_repeated_windows(
 
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT row_no, doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM d WHERE len(words) >= {WINDOW}),
+k AS (SELECT row_no, doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS run FROM s),
+f AS (SELECT row_no, doc_id, i, min(doc_id) OVER (PARTITION BY run) AS first_id FROM k),
+g AS (SELECT DISTINCT row_no, i + j AS pos FROM f, range({WINDOW}) r(j) WHERE doc_id > first_id),
+w AS (SELECT row_no, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+c AS (
+  SELECT row_no, count(g.pos) AS gone, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE g.pos IS NULL) AS kept
+  FROM w LEFT JOIN g USING (row_no, pos) GROUP BY row_no)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (row_no)"""

@@ -1,13 +1,15 @@
+import functools
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from screenspark.llm import ngram_lm
-from tests.llm.helpers import docs_frame, random_docs
+from screenspark.llm import common, ngram_lm
+from tests.llm.helpers import docs_frame, random_docs, same_rows
 
 
 def held(i):
@@ -38,24 +40,120 @@ def test_held_out_texts_are_likelier_than_under_the_base(spark):
     assert unlike < 0.05 * len(got)
 
 
-def test_filter_reads_levels_back_and_probabilities_nearly_sum_to_one(spark):
-    rows = random_docs()
-    counts = ngram_lm.gram_counts(docs_frame(spark, rows).select("text"))
-    model = ngram_lm.train(counts)
-    words = Counter(w for r in rows for w in [*(r[1] or "").encode().lower().split(), None])
-    names = list(words)
-    grams = np.array([ngram_lm.END if w is None else ngram_lm.word_hashes([w])[0] for w in names], np.uint64)
-    exact = np.array([words[w] for w in names])
-    assert (model.counts(grams) >= ngram_lm.level_count(ngram_lm.level(exact))).all()
-    total = ((model.counts(grams) + 1) / (model.n + model.v + 1)).sum()
-    assert 0.8 < total < 1.2
-    assert (model.counts(ngram_lm.mixed(np.arange(1000, 9000))) == 0).mean() > 0.95
+def trained(spark, texts):
+    """Shards and model of some texts, and the level that the filter reads for one gram."""
+    bits = 4
+    shards = ngram_lm.filter_shards(spark.createDataFrame([(t,) for t in texts], "text string"), bits)
+    found = {(r["bucket"], r["size"]): np.frombuffer(r["bits"], np.uint8) for r in shards.collect()}
+
+    def levels(size, hashes):
+        hashes = np.asarray(hashes, np.uint64)
+        out = np.zeros(len(hashes), np.int64)
+        bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+        for b in np.unique(bucket):
+            if (int(b), size) in found:
+                out[bucket == b] = ngram_lm.read_levels(found[int(b), size], hashes[bucket == b])
+        return out
+
+    return shards, ngram_lm.model(shards), levels
 
 
-@pytest.mark.parametrize("bits", [1 << 20, 1 << 21])
-def test_filter_keeps_its_bound(spark, bits):
-    counts = ngram_lm.gram_counts(docs_frame(spark, random_docs(vocabulary=300)).select("text"))
-    assert len(ngram_lm.train(counts, bits).bits) * 8 <= bits
+def pair_hashes(before, words):
+    return ngram_lm.mixed(before * ngram_lm.PAIR + words) & ngram_lm.PAIR_BITS
+
+
+def test_scores_equal_a_slow_version_with_the_same_filter(spark):
+    rows = random_docs(60, vocabulary=200)
+    shards, m, levels = trained(spark, [r[1] for r in rows if not held(r[0])])
+    n, v = m.n, m.v
+    single = functools.cache(lambda size, gram: int(levels(size, [gram])[0]))
+    got = ngram_lm.score_documents(docs_frame(spark, rows), ~ngram_lm.held_out(F.col("doc_id"))).collect()
+    want = []
+    for r in rows:
+        words = ngram_lm.Tokens([(r[1] or "").encode()]).grams
+        score, before = 0.0, ngram_lm.END
+        for w in words:
+            word, context = (m.mean[1][single(1, int(x))] for x in (w, before))
+            both = single(2, int(pair_hashes(np.array([before]), np.array([w]))[0]))
+            pair = min(m.mean[2][both], word, context)
+            if both == 1:
+                pair *= context**m.growth1 / (context**m.growth1 + m.false_followers)
+            types = context**m.growth
+            alone = (word + 1) / (n + v + 1)
+            score += math.log10((pair + types * alone) / (context + types) if context else alone)
+            before = w
+        want.append((r[0], round(score, 5)))
+    # Buckets differ between the two filters, so false answers do: none of the pairs here gets one.
+    assert same_rows([(r["doc_id"], round(r["score"], 5)) for r in got], want)
+
+
+def test_probabilities_sum_to_one_for_rare_and_frequent_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(3000)
+    texts = [r["text"] for r in docs.select("text").collect()]
+    shards, m, levels = trained(spark, texts)
+    tokens = ngram_lm.Tokens([(t or "").encode() for t in texts])
+    words, counts = np.unique(tokens.grams, return_counts=True)
+    seen = levels(1, words)
+    assert abs(((m.mean[1][seen] + 1) / (m.n + m.v + 1)).sum() - 1) < 0.01
+    assert m.v == len(words) and m.n == len(tokens.grams)
+    pick = np.random.default_rng(1)
+    for count in (1, 10, 100, 1000, counts.max()):
+        some = words[(counts >= count) & (counts <= 1.05 * count)]
+        sums = []
+        for u in pick.choice(some, min(8, len(some)), replace=False):
+            before = levels(1, [u])[0]
+            both = levels(2, pair_hashes(np.full(len(words), u), words))
+            sums.append(float((10 ** m.log10(seen, np.full(len(words), before), both)).sum()))
+        assert 0.9 <= np.mean(sums) <= 1.1, (count, sums)
+        # One false yes after a word seen once is worth half a probability; on average there are few.
+        assert all(0.75 <= x <= 1.6 for x in sums), (count, sums)
+
+
+def test_false_answers_are_counted_from_the_set_bits(spark):
+    texts = [r[1] for r in random_docs(120, vocabulary=2000, lines=60)]
+    _, m, levels = trained(spark, texts)
+    rate = m.false_followers / m.v
+    assert 0 < rate < 1e-4
+    assert (levels(2, ngram_lm.mixed(np.arange(100_000)) & ngram_lm.PAIR_BITS) > 0).mean() < 1e-3
+
+
+def test_a_weak_filter_still_gives_probabilities(spark, monkeypatch):
+    """Two probes: a fifth of all absent pairs get a yes, and the weights undo it."""
+    monkeypatch.setattr(ngram_lm, "PROBES", 2)
+    monkeypatch.setattr(ngram_lm, "BITS_PER_EVENT", 3)
+    pick = np.random.default_rng(2)
+    names = [f"w{i}" for i in range(3000)]
+    share = 1 / np.arange(1, 3001)
+    texts = [" ".join(pick.choice(names, 200, p=share / share.sum())) for _ in range(300)]
+    shards = [ngram_lm._counted(2)([batch]) for batch in [texts_batch(texts)]]
+    table = pa.Table.from_batches(list(shards[0]))
+    rows = [ngram_lm._shard(table.filter(pc.and_(pc.equal(table["bucket"], b), pc.equal(table["size"], s)))) for b in range(4) for s in (1, 2)]
+    parts = {(r["bucket"], r["size"]): r for t in rows for r in t.to_pylist()}
+    grams, mass = ({s: sum(np.array(r[k]) for (_, x), r in parts.items() if x == s) for s in (1, 2)} for k in ("grams", "mass"))
+    bits = sum(r["set_bits"] for (_, x), r in parts.items() if x == 2) / sum(8 * len(r["bits"]) for (_, x), r in parts.items() if x == 2)
+    m = ngram_lm.Model(grams, mass, bits**2)
+    assert m.false_followers > 0.1 * m.v
+    tokens = ngram_lm.Tokens([t.encode() for t in texts])
+    words, counts = np.unique(tokens.grams, return_counts=True)
+
+    def levels(size, hashes):
+        out = np.zeros(len(hashes), np.int64)
+        bucket = (hashes >> np.uint64(62)).astype(np.int64)
+        for b in range(4):
+            out[bucket == b] = ngram_lm.read_levels(np.frombuffer(parts[b, size]["bits"], np.uint8), hashes[bucket == b])
+        return out
+
+    seen = levels(1, words)
+    sums = []
+    for u in words[np.argsort(counts)[:: len(words) // 20]]:
+        both = levels(2, pair_hashes(np.full(len(words), u), words))
+        before = levels(1, np.array([u]))[0]
+        sums.append(float((10 ** m.log10(seen, np.full(len(words), before), both)).sum()))
+    assert np.mean(sums) < 3  # unweighted it would be in the hundreds
+
+
+def texts_batch(texts):
+    return pa.record_batch({"text": pa.array([t.encode() for t in texts], pa.binary())})
 
 
 def test_empty_tables(spark):
@@ -65,16 +163,26 @@ def test_empty_tables(spark):
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in untrained] == [(3, 0, 0, 0.0)]
 
 
-def test_filter_grows_with_the_events_and_no_pair_is_left_out(spark):
-    rows = random_docs(vocabulary=300)
-    counts = ngram_lm.gram_counts(docs_frame(spark, rows).select("text"))
-    shards = {(r["bucket"], r["size"]): np.frombuffer(r["bits"], np.uint8) for r in ngram_lm.filter_shards(counts).collect()}
-    events = 0
-    for r in counts.collect():
-        level = ngram_lm.level(ngram_lm.unpack(r["counts"], np.int64))
-        bits = shards[r["bucket"], r["size"]]
-        assert (ngram_lm.read_levels(bits, ngram_lm.unpack_sorted(r["hashes"])) >= level).all()
-        assert len(bits) * 8 >= ngram_lm.BITS_PER_EVENT * level.sum()
-        events += level.sum()
-    with pytest.raises(ValueError):  # a cap on the whole filter is an error, not a smaller model
-        ngram_lm.train(counts, int(events) * ngram_lm.BITS_PER_EVENT - 1)
+def test_filter_grows_with_the_events_and_no_gram_is_left_out(spark):
+    texts = [r[1] for r in random_docs(vocabulary=300)]
+    shards, _, levels = trained(spark, texts)
+    tokens = ngram_lm.Tokens([(t or "").encode() for t in texts])
+    events = {}
+    for size, grams in ((1, tokens.grams), (2, tokens.pairs)):
+        hashes, counts = np.unique(grams, return_counts=True)
+        assert (levels(size, hashes) >= ngram_lm.level(counts)).all()
+        events[size] = int(ngram_lm.level(counts).sum())
+    for size in (1, 2):
+        bits = shards.filter(f"size = {size}").agg(F.sum(8 * F.length("bits"))).first()[0]
+        assert bits >= ngram_lm.BITS_PER_EVENT * events[size]
+
+
+def test_chunks_and_buckets_grow_with_the_text(spark, monkeypatch):
+    docs = docs_frame(spark, random_docs())
+    least = 2 * common.partitions(spark)
+    assert common.chunk_plan(docs, "text")[0] == least
+    monkeypatch.setattr(common, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(common, "BUCKET_BYTES", 500)
+    chunks, bits = common.chunk_plan(docs, "text")
+    total = sum(len((r[1] or "").encode()) for r in random_docs())
+    assert chunks == -(-total // 1000) and 2**bits >= total // 500

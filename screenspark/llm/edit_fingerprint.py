@@ -14,10 +14,11 @@ compared at the higher one. Walks cover whole texts. The likeness of two
 fingerprints is the share of equal digits in the longer one, cleared of the 1/16
 that agree by chance.
 
-Near texts: each fingerprint is entered under bands of sampled digits, at its own
-and the next two levels, so that texts on two sides of a level still meet at two.
+Near texts: each fingerprint is entered under bands of sampled digits of its own level.
 A band takes its digits from one span of ``SPAN`` digits, and the spans cover the
-whole fingerprint, so texts may differ anywhere. Fingerprints that share a band and have at least
+whole fingerprint, so texts may differ anywhere. One that is close to the length of the
+next level is entered at that level too, where it meets the near texts beyond; short
+ones, which have few spans, at the next two levels. Fingerprints that share a band and have at least
 ``threshold`` likeness are linked; components are closed over all links. Bands
 with a single fingerprint are dropped before any fingerprint is sent. A band of
 more than ``BAND_LIMIT`` different fingerprints is cut into blocks of about that
@@ -47,6 +48,7 @@ from pyspark.sql import functions as F
 from screenspark.llm.common import mixed, partitions, written
 from screenspark.llm.components import stars
 from screenspark.llm.simhash import merge
+from screenspark.session import discard
 
 CLASSES = 64  # characters are hashed to so many classes
 PERIOD = 8192  # steps after which the drawn bits repeat
@@ -56,8 +58,9 @@ CHECK = 64  # steps between looks at which texts have ended; divides PERIOD
 LEVELS = "0123456789abcdefghijklmnopqrstuvwxyz"
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 THRESHOLD = 0.8
-BANDS, ROWS, SPAN = 4, 7, 32  # bands per span, digits of a band, digits they are drawn from
-RAISED = 3  # levels at which a fingerprint is entered
+BANDS, ROWS, SPAN = 4, 8, 32  # bands per span, digits of a band, digits they are drawn from
+# Fingerprints below so many digits are entered at three levels, those of so many at two.
+SHORT, NEXT = 128, 192
 BAND_LIMIT = 1 << 12
 
 
@@ -280,14 +283,17 @@ def _places(rows: int, band: int, start: int, width: int) -> np.ndarray:
 
 
 def band_keys(fp: str, bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    """Keys under which a fingerprint meets others: sampled digits of every span at ``RAISED`` levels.
+    """Keys under which a fingerprint meets others: sampled digits of every span, at one to three levels.
 
     A band of the last, partly filled span counts if all its digits are there.
     Fingerprints below two spans also have bands in their largest power of two and half of it.
     """
-    level, digits = _split(fp)
+    return _band_keys(*_split(fp), bands, rows)
+
+
+def _band_keys(level: int, digits: np.ndarray, bands: int, rows: int) -> list[int]:
     keys = []
-    for to in range(level, level + RAISED):
+    for to in range(level, level + (3 if len(digits) < SHORT else 1 + (len(digits) >= NEXT))):
         x = _raised(level, digits, to)
         spans = {(start, SPAN) for start in range(0, len(x), SPAN)}
         if len(x) < 2 * SPAN:
@@ -302,11 +308,26 @@ def band_keys(fp: str, bands: int = BANDS, rows: int = ROWS) -> list[int]:
     return keys
 
 
+def packed(fingerprint: Column) -> Column:
+    """A fingerprint as bytes: its level, whether its last digit is a filler, its digits two to a byte."""
+    digits = F.substring(fingerprint, 2, 1 << 30)
+    odd = F.length(digits) % 2
+    blob = F.unhex(F.concat(digits, F.when(odd == 1, "0").otherwise("")))
+    return F.concat(F.substring(fingerprint, 1, 1).cast("binary"), odd.cast("string").cast("binary"), blob)
+
+
+def _unpacked(blob: bytes) -> tuple[int, np.ndarray]:
+    """Level and digits, as ``_split`` gives them."""
+    raw = np.frombuffer(blob, np.uint8)[2:]
+    digits = HEX[np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)]
+    return LEVELS.index(chr(blob[0])), digits[: len(digits) - (blob[1:2] == b"1")]
+
+
 def _banded(tables):
     for t in tables:
         keys, nodes = [], []
         for node, fp in zip(t["node"].to_pylist(), t["fp"].to_pylist()):
-            found = set(band_keys(fp))
+            found = set(_band_keys(*_unpacked(fp), BANDS, ROWS))
             keys += found
             nodes += [node] * len(found)
         yield pa.record_batch({"key": pa.array(np.array(keys, np.uint64).view(np.int64)), "node": pa.array(nodes, pa.int64())})
@@ -329,9 +350,9 @@ def _cells(limit: int) -> Column:
     )
 
 
-def _matrix(fps: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(fps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Digits of some fingerprints at their highest level, one row each, and their numbers."""
-    parts = [_split(f) for f in fps]
+    parts = [_unpacked(f) for f in fps]
     top = max(level for level, _ in parts)
     rows = [_raised(level, x, top) for level, x in parts]
     n = np.array([len(r) for r in rows])
@@ -341,7 +362,7 @@ def _matrix(fps: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def _band_links(nodes: np.ndarray, sides: np.ndarray, fps: list[str], threshold: float):
+def _band_links(nodes: np.ndarray, sides: np.ndarray, fps: list[bytes], threshold: float):
     """Links that span the components of one band; pairs of one component are not compared again.
 
     Of two blocks, only pairs with one fingerprint in each are compared; inside, each block is compared elsewhere.
@@ -388,14 +409,16 @@ def _linked(threshold: float):
     return link
 
 
-def near_groups(rows: DataFrame, threshold: float = THRESHOLD, band_limit: int = BAND_LIMIT) -> DataFrame:
-    """``(fingerprint, group_id)``: the smallest id reachable over links, from rows with ``doc_id, fingerprint``."""
+def _node(fingerprint: str = "fingerprint") -> Column:
+    """A fingerprint's number: 64 bits of hash, by which rows are joined."""
+    return F.xxhash64(fingerprint).alias("node")
+
+
+def _node_groups(rows: DataFrame, threshold: float, band_limit: int) -> DataFrame:
+    """``(node, group_id)`` of every different fingerprint."""
     spark = rows.sparkSession
-    nodes = written(
-        rows.groupBy("fingerprint")
-        .agg(F.min("doc_id").alias("least"))
-        .select(F.xxhash64("fingerprint").alias("node"), F.col("fingerprint").alias("fp"), "least")
-    )
+    each = rows.select(_node(), packed(F.col("fingerprint")).alias("fp"), "doc_id")
+    nodes = written(each.groupBy("node", "fp").agg(F.min("doc_id").alias("least")))
     # Tables on both sides of a join are written, so that it can split a hot key.
     keys = written(nodes.select("node", "fp").mapInArrow(_banded, "key long, node long"))
     sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -403,8 +426,23 @@ def near_groups(rows: DataFrame, threshold: float = THRESHOLD, band_limit: int =
     met = cells.join(nodes.select("node", "fp"), "node").select("key", "node", "side", "fp")
     grouped = met.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
     root = stars(grouped.mapInArrow(_linked(threshold), "a long, b long"))
+    discard(keys)
+    discard(sizes)
     placed = written(
-        nodes.join(root, F.col("node") == F.col("a"), "left").select("fp", "least", F.coalesce("b", "node").alias("root"))
+        nodes.join(root, F.col("node") == F.col("a"), "left").select("node", "least", F.coalesce("b", "node").alias("root"))
     )
+    discard(nodes)
     heads = written(placed.groupBy("root").agg(F.min("least").alias("group_id")))
-    return placed.join(heads, "root").select(F.col("fp").alias("fingerprint"), "group_id")
+    return placed.join(heads, "root").select("node", "group_id")
+
+
+def near_groups(rows: DataFrame, threshold: float = THRESHOLD, band_limit: int = BAND_LIMIT) -> DataFrame:
+    """``(fingerprint, group_id)``: the smallest id reachable over links, from rows with ``doc_id, fingerprint``."""
+    found = rows.select("fingerprint", _node()).distinct()
+    return found.join(_node_groups(rows, threshold, band_limit), "node").select("fingerprint", "group_id")
+
+
+def with_groups(rows: DataFrame, threshold: float = THRESHOLD, band_limit: int = BAND_LIMIT) -> DataFrame:
+    """``rows``, a written table with ``doc_id, fingerprint``, and ``group_id`` of every row."""
+    groups = written(_node_groups(rows, threshold, band_limit))
+    return rows.withColumn("node", _node()).join(groups, "node").drop("node")

@@ -32,7 +32,7 @@ def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return scores.withColumn("held_out", ngram_lm.held_out(F.col("doc_id")))
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", substring_dedup.SQL)
 def substring(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeated_windows(table(spark, folder, "documents")))
 
@@ -70,7 +70,7 @@ def language(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_edit_fingerprint")
 def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     rows = written(edit_fingerprint.fingerprint_documents(table(spark, folder, "documents")))
-    return rows.join(written(edit_fingerprint.near_groups(rows)), "fingerprint")
+    return edit_fingerprint.with_groups(rows)
 
 
 @query("op1_line_dedup", line_dedup.SQL)

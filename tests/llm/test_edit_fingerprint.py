@@ -92,6 +92,47 @@ def test_near_groups_find_nearly_all_links_and_no_other(spark):
         assert root(i) == root(group[fps[i]])
 
 
+def test_packed_fingerprints_unpack(spark):
+    fps = [*E.fingerprints(["", "a", "ab", "abc" * 50, "x y" * 400]), "zabc", "3", "30"]
+    rows = spark.createDataFrame([(f,) for f in fps], "fingerprint string").select("fingerprint", E.packed(E.F.col("fingerprint")).alias("b"))
+    for r in rows.collect():
+        level, digits = E._unpacked(bytes(r["b"]))
+        assert E.LEVELS[level] + digits.tobytes().decode() == r["fingerprint"]
+
+
+@pytest.mark.parametrize("n", [16, 24, 48, 90])
+def test_bands_meet_for_short_texts(n):
+    pick, met, near = random.Random(n), 0, 0
+    for _ in range(400):
+        a = _digits(pick, n)
+        b = list(a)
+        for i in pick.sample(range(n), max(1, int(0.1 * n))):
+            b[i] = pick.choice("0123456789abcdef")
+        a, b = "0" + a, "0" + "".join(b)
+        if E.likeness(a, b) >= E.THRESHOLD:
+            near += 1
+            met += bool(set(E.band_keys(a)) & set(E.band_keys(b)))
+    assert near > 300 and met >= 0.95 * near
+
+
+def test_recall_on_edited_texts_of_the_documents(spark):
+    """Whole documents with words replaced in front, in the middle, at the end or all over, against all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 200").limit(150).collect()
+    pick, met, near = random.Random(8), 0, 0
+    for r in docs:
+        for where in ("front", "middle", "end", "spread"):
+            words = r["text"].split(" ")
+            n = max(1, len(words) // pick.choice([10, 20, 40]))
+            first = {"front": 0, "middle": (len(words) - n) // 2, "end": len(words) - n}.get(where)
+            for i in pick.sample(range(len(words)), n) if first is None else range(first, first + n):
+                words[i] = pick.choice(docs)["text"][:6]
+            a, b = E.fingerprints([r["text"], " ".join(words)])
+            if E.likeness(a, b) >= E.THRESHOLD:
+                near += 1
+                met += bool(set(E.band_keys(a)) & set(E.band_keys(b)))
+    assert near > 200 and met >= 0.95 * near
+
+
 def test_too_large_bands_are_split(spark, monkeypatch):
     fps = E.fingerprints(["the same beginning of a text " * 9 + str(i) for i in range(50)])
     rows = spark.createDataFrame(list(enumerate(fps)), "doc_id long, fingerprint string")

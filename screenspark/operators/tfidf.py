@@ -63,6 +63,16 @@ def spread_if_small(df: DataFrame) -> DataFrame:
     return df if plan_bytes(df) >= cores * SPLIT_BYTES else df.repartition(cores)
 
 
+def exploded(df: DataFrame, entries: Column, *keep: Column | str) -> DataFrame:
+    """The columns ``keep`` and one row ``t`` per entry; rows without an entry go.
+
+    A plain explode makes the optimizer push "has entries" below the exchange that
+    spreads the texts, so every text would be cut into terms twice, once of that in
+    the few tasks of the scan. The outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(entries).alias("t")).filter(F.col("t").isNotNull())
+
+
 def corpus(pairs: DataFrame, candidates: DataFrame, jobs: DataFrame, job: str, candidate: str) -> DataFrame:
     """Texts with the number of pairs they occur in: ``text``, ``weight``.
 
@@ -79,7 +89,7 @@ def corpus(pairs: DataFrame, candidates: DataFrame, jobs: DataFrame, job: str, c
 
 def term_statistics(texts: DataFrame, spec: TfidfSpec) -> DataFrame:
     """Document frequency and total count of every term, weighted by text uses."""
-    counted = texts.select("weight", F.explode(term_counts(spec.terms(F.col("text")))).alias("t"))
+    counted = exploded(texts, term_counts(spec.terms(F.col("text"))), "weight")
     return counted.groupBy(F.col("t.term").alias("term")).agg(
         F.sum("weight").alias("df"), F.sum(F.col("weight") * F.col("t.tf")).alias("tf")
     )
@@ -118,9 +128,7 @@ def vectors(docs: DataFrame, key: str, vocab: DataFrame, spec: TfidfSpec) -> Dat
     Documents without a known term have no row. A vector is never longer than
     the vocabulary.
     """
-    counted = spread_if_small(docs).select(
-        col(key), F.explode(term_counts(spec.terms(F.col("text")))).alias("t")
-    )
+    counted = exploded(spread_if_small(docs), term_counts(spec.terms(F.col("text"))), col(key))
     weighted = counted.join(F.broadcast(vocab.select("term", "idf", "pos")), F.col("t.term") == F.col("term"))
     entry = F.struct("pos", "term", (F.col("t.tf") * F.col("idf")).alias("w"))
     rows = weighted.groupBy(col(key)).agg(F.sort_array(F.collect_list(entry)).alias("raw"))
@@ -171,7 +179,7 @@ def pair_vocabulary(
 
     def side(table: DataFrame, key: str) -> DataFrame:
         uses = pairs.filter(col(key).isNotNull()).groupBy(col(key)).agg(F.count("*").alias("weight"))
-        terms = term_table(table, key, spec).join(uses, key).select("weight", F.explode("counts").alias("t"))
+        terms = exploded(term_table(table, key, spec).join(uses, key), F.col("counts"), "weight")
         return terms.groupBy(F.col("t.term").alias("term")).agg(
             F.sum("weight").alias("df"), F.sum(F.col("weight") * F.col("t.tf")).alias("tf")
         )

@@ -98,3 +98,15 @@ def test_absent_texts_count_as_documents(spark):
     found = {r.term: r for r in tfidf.pair_vocabulary(pairs, cvs, jobs, "j", "c", spec).collect()}
     assert found["sap"].df == 5 and found["sap"].idf == pytest.approx(math.log(7 / 6) + 1)
     assert found["java"].idf == pytest.approx(math.log(7 / 2) + 1)
+
+
+def test_no_filter_counts_the_terms_below_the_exchange(spark):
+    docs = spark.range(40).select("id", F.concat_ws(" ", F.lit("alpha beta"), F.col("id").cast("string")).alias("text"))
+    vocab = tfidf.vocabulary(docs.select("text", F.lit(1).alias("weight")), tfidf.TfidfSpec(max_features=9, words=plain))
+    for df in (
+        tfidf.term_statistics(tfidf.spread_if_small(docs).select("text", F.lit(1).alias("weight")), tfidf.SIMILARITY),
+        tfidf.vectors(docs, "id", vocab, tfidf.SIMILARITY),
+    ):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan and "size(" not in plan[plan.index("Repartition") :]
+        assert plan.count("Generate") == 1 and "explode" in plan

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from screenspark.operators import joins, shape
+from screenspark.operators import joins, profile, shape
 from screenspark.operators.encode import TextConcat
 from screenspark.plans import frames
 from screenspark.plans.registry import query
 from screenspark.session import shared_folder
-from screenspark.sources import tables
+from screenspark.sources import keyed_json, tables
 
 _DOCUMENTS = "doc_id, lang, n_chars, sha256(text) AS text_sha256"
 
@@ -28,6 +29,36 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return _digested(tables.read_table(spark, path, docs.schema))
 
 
+# Small enough for several ranges a file even on the smallest tables.
+RANGE_BYTES = 1 << 16
+
+
+@query("csv_ranges", f"SELECT {_DOCUMENTS} FROM documents")
+def csv_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV files with line breaks and quotes inside texts, read by more tasks than there are files."""
+    docs = frames.table(spark, folder, "documents")
+    path = shared_folder(spark)
+    tables.write_csv(docs, path)
+    return _digested(tables.read_table(spark, path, docs.schema, split_bytes=RANGE_BYTES))
+
+
+@query(
+    "keyed_json_ranges",
+    """SELECT CAST(doc_id AS VARCHAR) AS codigo, lang AS perfil__idioma, n_chars AS perfil__tamanho,
+       sha256(text) AS texto_sha256 FROM documents""",
+)
+def keyed_json_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """One keyed object per file, whole texts among its values, read by more tasks than there are files."""
+    docs = frames.table(spark, folder, "documents")
+    profile = F.struct(F.col("lang").alias("idioma"), F.col("n_chars").alias("tamanho"))
+    record = F.struct(profile.alias("perfil"), F.col("text").alias("texto"))
+    path = shared_folder(spark)
+    keyed_json.write_documents(docs.select(keyed_json.keyed_document(F.col("doc_id"), record).alias("value")), path)
+    kind = T.StructType.fromDDL("perfil STRUCT<idioma: STRING, tamanho: BIGINT>, texto STRING")
+    rows = keyed_json.flatten_keyed_json(keyed_json.read_documents(spark, path, split_bytes=RANGE_BYTES), kind, "codigo", sep="__")
+    return rows.select("codigo", "perfil__idioma", "perfil__tamanho", F.sha2("texto", 256).alias("texto_sha256"))
+
+
 @query("parquet_round_trip", f"SELECT {_DOCUMENTS} FROM documents")
 def parquet_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}.parquet"
@@ -52,20 +83,41 @@ FEATURE_MAP = {
 }
 
 
+_ROLE_ROWS = [
+    ("by_role", "numbers", "o_totalprice"),
+    ("by_role", "categories", "o_orderstatus"),
+    ("by_role", "texts", "o_orderpriority"),
+    ("by_role", "excluded", "o_custkey"),
+    ("by_role", "excluded", "o_orderdate"),
+    ("by_role", "excluded", "o_orderkey"),
+    ("by_role", "excluded", "status_simplificado"),
+    ("by_type", "numbers", "o_totalprice"),
+    ("by_type", "categories", "o_orderstatus"),
+    ("by_type", "categories", "status_simplificado"),
+    ("by_type", "texts", "o_orderpriority"),
+    ("group", "present", "o_custkey"),
+    ("target", "chosen", "status_simplificado"),
+    ("fields", "job", "o_orderpriority"),
+    ("fields", "candidate", "o_orderstatus"),
+]
+_ROLE_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "status_simplificado")
+_ROLE_PROFILE = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count(*) AS n_rows, (count(*) - count({c})) / count(*)::DOUBLE AS missing_rate, count(DISTINCT {c}) AS n_distinct FROM o"
+    for c in _ROLE_COLUMNS
+)
+
+
 @query(
     "column_roles",
-    """SELECT * FROM (VALUES ('by_role', 'numbers', 'o_totalprice'), ('by_role', 'categories', 'o_orderstatus'),
-      ('by_role', 'texts', 'o_orderpriority'), ('by_role', 'excluded', 'o_custkey'), ('by_role', 'excluded', 'o_orderdate'),
-      ('by_role', 'excluded', 'o_orderkey'), ('by_role', 'excluded', 'status_simplificado'),
-      ('by_type', 'numbers', 'o_totalprice'), ('by_type', 'categories', 'o_orderstatus'),
-      ('by_type', 'categories', 'status_simplificado'), ('by_type', 'texts', 'o_orderpriority'),
-      ('group', 'present', 'o_custkey'), ('target', 'chosen', 'status_simplificado'),
-      ('fields', 'job', 'perfil_vaga.o_orderpriority'), ('fields', 'candidate', 'o_orderstatus')) v(part, kind, feature),
-    (SELECT count(*) AS n_rows FROM orders)""",
+    f"""WITH o AS (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN 'contratado' END AS status_simplificado FROM orders),
+    p AS ({_ROLE_PROFILE}),
+    v(part, kind, feature) AS (VALUES {", ".join(map(str, _ROLE_ROWS))})
+    SELECT part, kind, feature, n_rows, missing_rate, n_distinct FROM v JOIN p USING (feature)""",
 )
 def column_roles(spark: SparkSession, folder: str) -> DataFrame:
-    """Kinds of the columns of ``orders`` by role and by type, its group and target, and the model's fields."""
-    orders = frames.table(spark, folder, "orders").withColumn("status_simplificado", F.lit("contratado"))
+    """Every column of ``orders`` under its roles, profiled over the whole table: rows, missing values, distinct values."""
+    status = F.when(F.col("o_orderstatus") != "P", "contratado")
+    orders = frames.table(spark, folder, "orders").withColumn("status_simplificado", status)
     by_role, by_type = shape.classify_features(orders, FEATURE_MAP), shape.classify_by_type(orders, FEATURE_MAP)
     groups, target = shape.groups_and_target(orders.columns, FEATURE_MAP)
     meta = {"schema_in": {"cat": by_role.categories, "txt": [f"perfil_vaga.{t}" for t in by_role.texts]}}
@@ -74,9 +126,15 @@ def column_roles(spark: SparkSession, folder: str) -> DataFrame:
     found = [("by_role", k, c) for k in kinds for c in getattr(by_role, k)]
     found += [("by_type", k, c) for k in kinds[:3] for c in getattr(by_type, k)]
     found += [("group", "present", g) for g in groups] + [("target", "chosen", target)]
-    found += [("fields", "job", c) for c in job] + [("fields", "candidate", c) for c in candidate]
-    rows = spark.createDataFrame(found, "part string, kind string, feature string")
-    return rows.withColumn("n_rows", orders.agg(F.count("*")).scalar())
+    found += [("fields", "job", c.removeprefix("perfil_vaga.")) for c in job] + [("fields", "candidate", c) for c in candidate]
+    profiled = profile.missing_and_cardinality(orders)
+    every = orders.agg(F.count("*")).scalar()
+    roles = [F.struct(*(F.lit(x).alias(n) for x, n in zip(row, ("part", "kind", "role_of")))) for row in found]
+    return (
+        profiled.select("*", F.explode(F.array(*roles)).alias("r"))
+        .filter(F.col("r.role_of") == F.col("feature"))
+        .select("r.part", "r.kind", "feature", every.alias("n_rows"), "missing_rate", F.col("nunique").alias("n_distinct"))
+    )
 
 
 @query(

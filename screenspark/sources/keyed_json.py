@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenspark.names import col, quoted
+from screenspark.sources import ranges
 
 # Fields of a prospect and the names they get; the source
 # spells the stage field with a d.
@@ -33,13 +35,42 @@ PROSPECTS_SCHEMA = T.StructType(
 )
 
 
-def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """JSON texts in column ``value``: one per file, or one per line.
+def read_documents(spark: SparkSession, path: str, lines: bool = False, split_bytes: int | None = None) -> DataFrame:
+    """Keyed JSON objects in column ``value``: one per file, or one per line.
 
-    One object per file cannot be split, so a large base should come as many
-    files or as lines, each a keyed object of its own.
+    Where a file is longer than ``split_bytes`` (unless given, the size by which Spark
+    splits files) all files are read in byte ranges, and every record is an object
+    ``{key: record}`` of its own. Compressed files are one row each.
     """
-    return spark.read.text(path, wholetext=not lines)
+    if lines:
+        return spark.read.text(path)
+    size = ranges.split_size(spark, split_bytes)
+    if ranges.longest_file(spark, path) <= size:
+        return spark.read.text(path, wholetext=True)
+
+    def entries(file, row):
+        if ranges.first_byte(file) != b"{":
+            raise ValueError(f"malformed keyed JSON: {row['path']} is no object")
+        for entry in ranges.json_records(file, *(row[c] for c in ("start", "end", "length", "quoted", "depth"))):
+            yield b"{" + entry + b"}"
+
+    return ranges.read_records(ranges.range_states(ranges.file_ranges(spark, path, size), json=True), entries)
+
+
+def _one_object(tables):
+    first = True
+    for table in tables:
+        if table.num_rows:
+            entries = [v[1:-1] for v in table["value"].to_pylist()]
+            yield pa.record_batch({"value": [("{" if first else ",") + entries[0], *("," + e for e in entries[1:])]})
+            first = False
+    yield pa.record_batch({"value": ["{}" if first else "}"]})
+
+
+def write_documents(documents: DataFrame, path: str, text: str = "value") -> None:
+    """Objects of one or more records as one keyed object per task; keys are not compared."""
+    full = documents.select(F.trim(col(text)).alias("value")).filter(~F.col("value").rlike(r"^\{\s*\}$"))
+    full.mapInArrow(_one_object, "value string").write.text(path)
 
 
 def leaves(schema: T.StructType, sep: str = ".", prefix: str = "") -> list[tuple[str, str]]:
@@ -83,9 +114,14 @@ def keyed_json_schema(documents: DataFrame, text: str = "value") -> T.StructType
     entries = documents.select(F.parse_json(col(text)).alias("doc"))
     each = documents.sparkSession.tvf.variant_explode(F.col("doc").outer())
     found = entries.lateralJoin(each).agg(F.schema_of_variant_agg("value")).first()[0]
-    if not found or found.upper() in ("VOID", "OBJECT<>"):
+    return struct_of_variant(found)
+
+
+def struct_of_variant(schema: str | None) -> T.StructType:
+    """The struct that a variant schema of objects describes."""
+    if not schema or schema.upper() in ("VOID", "OBJECT<>"):
         return T.StructType([])
-    return T.StructType.fromDDL(_as_ddl(found)[len("STRUCT<") : -1])
+    return T.StructType.fromDDL(_as_ddl(schema)[len("STRUCT<") : -1])
 
 
 # A quoted field name, or a type word where a type stands.

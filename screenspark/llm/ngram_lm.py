@@ -27,8 +27,8 @@ only one at which such answers matter, counts with the chance that it is a true
 
     b(u w) = t1(u) / (t1(u) + f V),   t1(u) = c(u) ** growth1
 
-where t1 models the followers seen once in the same way and f comes from the share of
-bits that are set. P(w) adds up to 1 over all words and one unknown one, P(w|u) nearly
+where t1 models the followers seen once in the same way and f comes from the bits that
+are set. P(w) adds up to 1 over all words and one unknown one, P(w|u) nearly
 (tested to a tenth). c(u w) never exceeds c(u) or c(w). The score of a text is the sum of
 log10 P(w|u) over its words and the end token; the first word follows an end token.
 
@@ -64,12 +64,18 @@ from screenspark.llm.common import (
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end token
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 LEVEL_BASE = 1.25
-BITS_PER_EVENT, PROBES = 30, 21
+# An event sets four bits in each of four words of 64 bits: 16 probes, four of which take one look.
+BITS_PER_EVENT, WORDS = 30, 4
 LEVELS = 128
 PAIR_BITS = np.uint64(0xFFFFFFFFFFFF0000)  # a pair's leading 48 bits: they travel at two thirds of the size
 BATCH_BYTES = 8 << 20
 
 
+TWO_BITS = (np.uint64(1) << (np.arange(4096, dtype=np.uint64) & np.uint64(63))) | (
+    np.uint64(1) << (np.arange(4096, dtype=np.uint64) >> np.uint64(6))
+)
+
+
 class Tokens:
     """Token hashes of some texts, one after the other, each with its end token."""
 
@@ -131,13 +137,13 @@ SHARD = pa.schema(
         ("tokens", pa.int64()),
         ("grams", pa.list_(pa.int64())),  # by level
         ("mass", pa.list_(pa.int64())),  # their counts
-        ("set_bits", pa.int64()),
+        ("false_events", pa.float64()),  # chance of a false yes, for each word of the filter
         ("bits", pa.binary()),
         ("hashes", pa.binary()),  # of words, with their exact counts
         ("counts", pa.binary()),
     ]
 )
-SHARD_KINDS = "bucket int, size byte, tokens long, grams array<long>, mass array<long>, set_bits long, bits binary, hashes binary, counts binary"
+SHARD_KINDS = "bucket int, size byte, tokens long, grams array<long>, mass array<long>, false_events double, bits binary, hashes binary, counts binary"
 
 
 def _shard(table: pa.Table) -> pa.Table:
@@ -156,7 +162,7 @@ def _shard(table: pa.Table) -> pa.Table:
         int(total.sum()),
         np.bincount(levels, minlength=LEVELS).tolist(),
         np.bincount(levels, total, LEVELS).astype(np.int64).tolist(),
-        int(np.bitwise_count(bits).sum()),
+        false_rate(bits) * len(bits),
         bits.tobytes(),
         *exact,
     )
@@ -171,11 +177,15 @@ def filter_shards(texts: DataFrame, bits: int) -> DataFrame:
     return written(counted.groupBy("bucket", "size").applyInArrow(_shard, SHARD_KINDS))
 
 
-def _spots(hashes: np.ndarray, levels: np.ndarray, n_bits: int):
-    """The ``PROBES`` bits of every event in a filter of ``n_bits``."""
+def _drawn_words(hashes: np.ndarray, levels: np.ndarray, n_words: int):
+    """For each of the ``WORDS`` words of every event: its number, and the bits that the event has there."""
     drawn = mixed(hashes + levels.astype(np.uint64) * PAIR)
-    at, step = drawn & np.uint64(0xFFFFFFFF), (drawn >> np.uint64(32)) | np.uint64(1)
-    return [(at + np.uint64(i) * step) % np.uint64(n_bits) for i in range(PROBES)]
+    other = drawn * PAIR
+    at, step = drawn >> np.uint64(32), (drawn & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    for i in range(WORDS):
+        spread = (at + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)
+        bits = other >> np.uint64(8 + 16 * (i % 2)) if i < 2 else (other * END) >> np.uint64(8 + 16 * (i % 2))
+        yield (spread * np.uint64(n_words)) >> np.uint64(32), TWO_BITS[bits & np.uint64(4095)] | TWO_BITS[(bits >> np.uint64(12)) & np.uint64(4095)]
 
 
 def filled(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -183,26 +193,32 @@ def filled(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     top = level(counts)
     events = np.repeat(hashes, top)
     at = np.arange(len(events)) - np.repeat(np.cumsum(top) - top, top) + 1
-    bits = np.zeros(-(-max(64, len(events) * BITS_PER_EVENT) // 8), np.uint8)
-    for spot in _spots(events, at, 8 * len(bits)):
-        np.bitwise_or.at(bits, (spot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8))
-    return bits
+    words = np.zeros(max(1, -(-len(events) * BITS_PER_EVENT // 64)), np.uint64)
+    for word, bits in _drawn_words(events, at, len(words)):
+        np.bitwise_or.at(words, word, bits)
+    return words
 
 
-def read_levels(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def read_levels(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Level of every gram: probes until one event is missing."""
     levels = np.zeros(len(hashes), np.int64)
     alive, at = np.arange(len(hashes)), 1
     while len(alive):
         hit = np.ones(len(alive), bool)
-        for spot in _spots(hashes[alive], np.full(len(alive), at), 8 * len(bits)):
-            hit &= (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        for word, bits in _drawn_words(hashes[alive], np.full(len(alive), at), len(words)):
+            hit &= words[word] & bits == bits
         alive = alive[hit]
         levels[alive] = at
         at += 1
     return levels
 
 
+def false_rate(words: np.ndarray) -> float:
+    """The chance that a filter answers yes for an event that it does not hold, from the bits that are set in its words."""
+    share = np.bitwise_count(words) / 64.0
+    return float((share**4).mean() ** WORDS)
+
+
 class Model:
     """What the workers know of the whole corpus: totals, powers, the filter's errors, and the mean count of every level."""
 
@@ -241,9 +257,8 @@ def model(shards: DataFrame) -> Model:
     grams, mass = ({1: np.zeros(LEVELS, np.int64), 2: np.zeros(LEVELS, np.int64)} for _ in range(2))
     for r in rows.groupBy("size", "level").agg(F.sum("x.grams").alias("grams"), F.sum("x.mass").alias("mass")).collect():
         grams[r["size"]][r["level"]], mass[r["size"]][r["level"]] = r["grams"], r["mass"]
-    pairs = shards.filter("size = 2").agg(F.sum("set_bits"), F.sum(F.length("bits"))).first()
-    share = pairs[0] / (8 * pairs[1]) if pairs[1] else 0.0
-    return Model(grams, mass, share**PROBES)
+    pairs = shards.filter("size = 2").agg(F.sum("false_events"), F.sum(F.length("bits") / 8)).first()
+    return Model(grams, mass, pairs[0] / pairs[1] if pairs[1] else 0.0)
 
 
 def _asked(bits: int):
@@ -262,7 +277,7 @@ def _asked(bits: int):
 def _answer(asked: pa.Table, shards: pa.Table) -> pa.Table:
     """Levels of the grams asked for, and exact counts of words."""
     by_size = {r["size"]: r for r in shards.to_pylist()}
-    filters = [np.frombuffer(by_size[size]["bits"], np.uint8) if size in by_size else np.zeros(8, np.uint8) for size in (1, 2)]
+    filters = [np.frombuffer(by_size[size]["bits"], np.uint64) if size in by_size else np.zeros(1, np.uint64) for size in (1, 2)]
     known = unpack_sorted(by_size[1]["hashes"]) if 1 in by_size else np.zeros(0, np.uint64)
     number = np.append(unpack(by_size[1]["counts"], np.int64) if 1 in by_size else np.zeros(0, np.int64), 0)
     out = []

@@ -280,15 +280,26 @@ def _answer(asked: pa.Table, shards: pa.Table) -> pa.Table:
     filters = [np.frombuffer(by_size[size]["bits"], np.uint64) if size in by_size else np.zeros(1, np.uint64) for size in (1, 2)]
     known = unpack_sorted(by_size[1]["hashes"]) if 1 in by_size else np.zeros(0, np.uint64)
     number = np.append(unpack(by_size[1]["counts"], np.int64) if 1 in by_size else np.zeros(0, np.int64), 0)
-    out = []
-    for words, pairs in zip(asked["words"].to_pylist(), asked["pairs"].to_pylist()):
-        hashes = unpack_sorted(words), unpack_sorted(pairs)
-        at = np.searchsorted(known, hashes[0])
-        found = np.zeros(len(at), bool) if not len(known) else known[np.minimum(at, len(known) - 1)] == hashes[0]
-        levels = [pack(read_levels(f, h).astype(np.int8)) for f, h in zip(filters, hashes)]
-        out.append((pack(np.where(found, number[at], 0)), *levels))
-    counts, seen, both = (pa.array(c, pa.binary()) for c in (zip(*out) if out else [[]] * 3))
-    return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "known": counts, "words": seen, "pairs": both})
+    words, pairs = ([unpack_sorted(x) for x in asked[c].to_pylist()] for c in ("words", "pairs"))
+
+    def answered(queries: list[np.ndarray], found) -> list[bytes]:
+        """``found`` for the different grams of all chunks at once, dealt out to the chunks."""
+        if not queries:
+            return []
+        different, which = np.unique(np.concatenate(queries), return_inverse=True)
+        parts = np.split(found(different)[which], np.cumsum([len(q) for q in queries])[:-1])
+        return [pack(x) for x in parts]
+
+    def exact(hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known, hashes)
+        same = np.zeros(len(at), bool) if not len(known) else known[np.minimum(at, len(known) - 1)] == hashes
+        return np.where(same, number[at], 0)
+
+    seen, both = (
+        answered(q, lambda hashes, f=f: read_levels(f, hashes).astype(np.int8)) for q, f in zip((words, pairs), filters)
+    )
+    columns = (pa.array(c, pa.binary()) for c in (answered(words, exact), seen, both))
+    return pa.table(dict(zip(("chunk", "bucket", "known", "words", "pairs"), (asked["chunk"], asked["bucket"], *columns))))
 
 
 SCORES = pa.schema(

@@ -190,19 +190,24 @@ def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
 
 
 def remove_repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, long_line: int = LONG_LINE
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_lines: int = MIN_LINES,
+    long_line: int = LONG_LINE,
+    result: str = "removed_lines",
 ) -> DataFrame:
-    """``docs`` with the later copies cut out of the text, and a last column ``removed_lines`` (sorted line numbers).
+    """``docs`` with the later copies cut out of the text, and a last column ``result`` (sorted line numbers).
 
     An input column of that name is replaced.
     """
     gone = copied_lines(written(line_table(docs, id_col, text_col).distinct()), min_lines, long_line)
     own, key, cut = (free_name(docs, n) for n in ("own", "key", "cut"))
     gone = gone.select(F.col("doc").alias(key), F.col("gone").alias(cut))
-    names = [c for c in docs.columns if c != "removed_lines"]
+    names = [c for c in docs.columns if c != result]
     joined = docs.withColumn(own, _key(id_col, text_col)).join(gone, F.col(own) == F.col(key), "left")
     text = _without(F.col(text_col), F.col(cut)).alias(text_col)
-    removed = F.sort_array(F.coalesce(cut, F.array().cast("array<int>"))).alias("removed_lines")
+    removed = F.sort_array(F.coalesce(cut, F.array().cast("array<int>"))).alias(result)
     return joined.select(*[text if c == text_col else F.col(quoted(c)) for c in names], removed)
 
 

@@ -1,13 +1,16 @@
 """Every stage on the odd rows against a brute-force version of itself, and the whole run on a small table."""
 
+import math
 import random
+import zlib
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from screenspark.llm import simhash
-from tests.llm.helpers import COLUMNS, random_docs
+from screenspark.llm import pieces, simhash
+from tests.llm.helpers import COLUMNS, docs_frame, random_docs
+from tests.llm.test_language_id import slow_known
 from tests.llm.test_line_dedup import slow as slow_lines
 from tests.llm.test_mixing import slow_mix
 from tests.llm.test_simhash import slow_components, slow_fingerprint
@@ -26,15 +29,40 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, COLUMNS)
 
 
-def test_language_drops_only_texts_without_letters(spark, rows, docs):
-    got = STAGE["language"](spark, docs, "").collect()
-    want = Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
-    assert set(map(tuple, got)) <= set(want)
-    assert all(len(set(r[1])) < 14 and "w" not in r[1] for r in want - Counter(map(tuple, got)))
+def test_language_follows_the_rule(spark, rows, docs):
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    known = slow_known(rows, held)
+    share = sorted(b / a for r in rows if r[1] is not None and r[2] is not None and not held(r[0]) for a, b in [known(r[1])] if a)
+    need = share[max(0, math.ceil(0.01 * len(share)) - 1)] / 2
+
+    def stays(text):
+        n, hits = known(text)
+        return hits > 0 and hits >= n * need - 3 * math.sqrt(n * need * (1 - need))
+
+    want = Counter(r for r in rows if stays(r[1]))
+    assert Counter(map(tuple, STAGE["language"](spark, docs, "").collect())) == want
+
+
+@pytest.mark.parametrize("name", [n for n in STAGE if n != "token ids"])
+def test_extra_columns_named_like_results_go_through(spark, rows, name):
+    docs = docs_frame(spark, rows)
+    got = STAGE[name](spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    extra = docs.columns[len(COLUMNS_OF) :]
+    kept = [tuple(r[c] for c in extra) for r in got.collect()]
+    assert kept and set(kept) == {tuple("abcdefgh")}
+
+
+def test_token_ids_decode_to_the_texts(spark, rows, docs):
+    got = STAGE["token ids"](spark, docs, "")
+    assert got.columns == ["doc_id", "source", "ids", "n_pieces"]
+    back = Counter((r["doc_id"], r["text"]) for r in pieces.decode(got).collect())
+    assert back == Counter(r[:2] for r in rows)
+    assert all(r["ids"] is None and r["n_pieces"] in (None, -1) or r["n_pieces"] == len(r["ids"]) for r in got.collect())
 
 
 def test_lines(spark, rows, docs):
-    gone = slow_lines(rows, 2)
+    gone = slow_lines(rows)
     want = Counter()
     for r in rows:
         kept = None if r[1] is None else "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in gone[r[:2]])

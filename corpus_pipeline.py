@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from screenspark.llm import language_id, line_dedup, mixing, pieces, simhash
 from screenspark.llm.common import written
+from screenspark.names import free_name
 from screenspark.plans.frames import table
 
 
@@ -26,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.remove_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    return kept.select(*docs.columns)
+    kept = line_dedup.remove_repeated_lines(docs, result=free_name(docs, "removed_lines"))
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ END = np.uint64(0x5851F42D4C957F2D)  # stands for the end token
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 LEVEL_BASE = 1.25
 # An event sets four bits in each of four words of 64 bits: 16 probes, four of which take one look.
-BITS_PER_EVENT, WORDS = 30, 4
+BITS_PER_EVENT, WORDS = 26, 4
 LEVELS = 128
 PAIR_BITS = np.uint64(0xFFFFFFFFFFFF0000)  # a pair's leading 48 bits: they travel at two thirds of the size
 BATCH_BYTES = 8 << 20

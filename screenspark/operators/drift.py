@@ -8,6 +8,7 @@ there are. From there on the tables hold one row per column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from screenspark.functions.scalars import known_number
 from screenspark.names import col, cols
 from screenspark.operators.joins import aligned_counts
 from screenspark.operators.prefix import running_totals
-from screenspark.operators.profile import is_numeric, value_key, value_texts
+from screenspark.operators.profile import is_numeric, value_key, value_text, value_texts
 
 EMPTY = "feature string, statistic double, dof int"
 
@@ -43,7 +44,11 @@ def chi_square(ref: DataFrame, prod: DataFrame, names: Sequence[str]) -> DataFra
     A value the reference never has is divided by 1 instead of its expected 0.
     Columns without any value on one side give no row.
     """
-    counts = aligned_counts(value_texts(ref, names), value_texts(prod, names), names, value_key)
+    return _chi_square(aligned_counts(value_texts(ref, names), value_texts(prod, names), names, value_key))
+
+
+def _chi_square(counts: DataFrame) -> DataFrame:
+    """From ``feature, value, ref_c, prod_c``, one row per value."""
     totals = counts.groupBy(F.col("feature").alias("total_feature")).agg(
         F.sum("ref_c").alias("ref_n"), F.sum("prod_c").alias("prod_n")
     )
@@ -71,11 +76,14 @@ def kolmogorov_smirnov(ref: DataFrame, prod: DataFrame, names: Sequence[str]) ->
         return numbers.unpivot([], cols(names), "feature", "value").withColumn("is_ref", F.lit(is_ref))
 
     both = long(ref, 1).unionByName(long(prod, 0)).filter("value is not null")
-    sums = running_totals(
-        both, "value", {"ref_c": F.col("is_ref"), "prod_c": 1 - F.col("is_ref")}, feature="feature"
-    )
+    return _largest_gap(both, F.col("is_ref"), 1 - F.col("is_ref"))
+
+
+def _largest_gap(both: DataFrame, ref_c: Column, prod_c: Column) -> DataFrame:
+    """From ``feature, value`` and how often each side has the row's value."""
+    sums = running_totals(both, "value", {"ref_c": ref_c, "prod_c": prod_c}, feature="feature")
     totals = both.groupBy(F.col("feature").alias("total_feature")).agg(
-        F.sum("is_ref").alias("ref_n"), F.sum(1 - F.col("is_ref")).alias("prod_n")
+        F.sum(ref_c).alias("ref_n"), F.sum(prod_c).alias("prod_n")
     )
     gap = F.abs(F.col("cum_ref_c") / F.col("ref_n") - F.col("cum_prod_c") / F.col("prod_n"))
     return (
@@ -111,6 +119,11 @@ def drift_report(
     sizes = _value_numbers(ref, names, "ref_n").join(
         _value_numbers(prod, names, "prod_n"), "feature"
     )
+    return _report(stats, sizes, numbers, alpha)
+
+
+def _report(stats: DataFrame, sizes: DataFrame, numbers: Sequence[str], alpha: float) -> DataFrame:
+    """Statistics and numbers of values, one row per column each, as a report."""
     is_number = F.col("feature").isin(*numbers) if numbers else F.lit(False)
     no_values = (F.col("ref_n") == 0) & (F.col("prod_n") == 0)
     test = F.when(is_number | no_values, "ks").otherwise("chi2")
@@ -132,6 +145,63 @@ def drift_report(
     )
 
 
+# ---- stored profiles ------------------------------------------------------------------------
+
+
+def drift_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """What a drift report needs of a table: ``feature, is_number, key, value, n``.
+
+    One row per column and distinct value with its count, and one without key per
+    column, so that columns without values are known. Long texts are digests. Written
+    as a table it stands for ``df`` in later reports, and profiles of parts add up.
+    """
+    names = list(df.columns if columns is None else columns)
+    numbers = {n for n in names if is_numeric(dict(df.dtypes)[n]) or dict(df.dtypes)[n] == "boolean"}
+
+    def entry(name: str, key: Column, value: Column) -> Column:
+        fields = {"feature": F.lit(name), "is_number": F.lit(name in numbers), "key": key, "value": value.cast("double")}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    nothing = F.lit(None).cast("string")
+    each = [entry(n, value_key(value_text(df, n)), known_number(col(n)) if n in numbers else F.lit(None)) for n in names]
+    rows = df.select(F.inline(F.array(*each))).filter("key is not null").groupBy("feature", "is_number", "key", "value")
+    known = df.sparkSession.range(1).select(F.inline(F.array(*[entry(n, nothing, F.lit(None)) for n in names])))
+    return rows.agg(F.count("*").alias("n")).unionByName(known.withColumn("n", F.lit(0).cast("long")))
+
+
+def merge_profiles(*profiles: DataFrame) -> DataFrame:
+    """The profile of all rows behind some profiles, in whatever order they are merged.
+
+    A column is numeric if it is in every part.
+    """
+    every = reduce(DataFrame.unionByName, profiles)
+    kinds = every.groupBy(F.col("feature").alias("kind_of")).agg(F.min("is_number").alias("all_numbers"))
+    # One row per column: the broadcast is as small as the column list.
+    named = every.join(F.broadcast(kinds), F.col("feature") == F.col("kind_of"))
+    return named.groupBy("feature", F.col("all_numbers").alias("is_number"), "key", "value").agg(F.sum("n").alias("n"))
+
+
+def profile_report(ref: DataFrame, prod: DataFrame, alpha: float = fixed.DRIFT_ALPHA) -> DataFrame:
+    """The drift report of the tables behind two profiles; neither table is read."""
+    both = ref.withColumn("is_ref", F.lit(1)).unionByName(prod.withColumn("is_ref", F.lit(0)))
+    both = both.withColumns({"ref_c": F.col("n") * F.col("is_ref"), "prod_c": F.col("n") * (1 - F.col("is_ref"))})
+    sides = both.groupBy("feature").agg(F.min("is_number").alias("is_number"), F.countDistinct("is_ref").alias("sides"))
+    numbers, others = [], []
+    for row in sides.filter("sides = 2").collect():  # one row per column
+        (numbers if row["is_number"] else others).append(row["feature"])
+    spark = ref.sparkSession
+    values = both.filter("key is not null")
+    ks = _largest_gap(values.filter(F.col("feature").isin(numbers)), F.col("ref_c"), F.col("prod_c")) if numbers else None
+    counts = values.filter(F.col("feature").isin(others)).groupBy("feature", F.col("key").alias("value"))
+    chi = _chi_square(counts.agg(F.sum("ref_c").alias("ref_c"), F.sum("prod_c").alias("prod_c")))
+    stats = chi if ks is None else chi.unionByName(ks, allowMissingColumns=True)
+    sizes = both.filter(F.col("feature").isin(numbers + others)).groupBy("feature")
+    sizes = sizes.agg(F.sum("ref_c").alias("ref_n"), F.sum("prod_c").alias("prod_n"))
+    if not numbers and not others:
+        stats = spark.createDataFrame([], EMPTY)
+    return _report(stats.withColumnRenamed("feature", "stat_feature"), sizes, numbers, alpha)
+
+
 def sorted_report(report: DataFrame) -> DataFrame:
     """Drifted columns first, then by p-value with missing ones last."""
     return report.orderBy(F.desc("drift"), F.asc_nulls_last("p_value"), "feature")

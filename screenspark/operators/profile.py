@@ -97,15 +97,16 @@ def _long_form(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return value_texts(df, names).unpivot([], cols(names), "feature", "value")
 
 
-def value_texts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The columns as text; NaN is missing and so null."""
-    kinds = dict(df.dtypes)
+def value_text(df: DataFrame, name: str) -> Column:
+    """The column as text; NaN is missing and so null."""
+    kind = dict(df.dtypes)[name]
+    value = F.nanvl(col(name), F.lit(None)) if kind in ("float", "double") else col(name)
+    return value.cast("string").alias(name)
 
-    def text(name: str) -> Column:
-        value = F.nanvl(col(name), F.lit(None)) if kinds[name] in ("float", "double") else col(name)
-        return value.cast("string").alias(name)
 
-    return df.select(*[text(n) for n in names])
+def value_texts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The columns as text."""
+    return df.select(*[value_text(df, n) for n in names])
 
 
 def _value_table(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -11,8 +11,9 @@ from screenspark.names import col
 from screenspark.operators import joins, profile, shape
 from screenspark.plans import frames
 from screenspark.plans.registry import query
+from screenspark.session import parallelism, shared_folder
 from screenspark.sources.keyed_json import flatten_keyed_json, keyed_document, load_prospects
-from screenspark.sources.tables import json_rows
+from screenspark.sources.tables import json_rows, write_bucketed
 
 ORDER_RECORD = T.StructType(
     [
@@ -128,6 +129,25 @@ def jobs_prospects_applicants(spark: SparkSession, folder: str) -> DataFrame:
     return joins.join_screening_tables(*screening_sources(spark, folder))
 
 
+@query(
+    "bucketed_join",
+    """SELECT CAST(o.o_orderkey AS VARCHAR) AS codigo_vaga, o.o_orderpriority AS titulo,
+       CAST(l.l_partkey AS VARCHAR) AS codigo_applicant, l.l_returnflag AS situacao_candidato
+    FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey""",
+)
+def bucketed_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs and prospects written once in buckets of the job key, joined without a shuffle."""
+    jobs, prospects, _ = screening_sources(spark, folder)
+    buckets = parallelism(spark)
+
+    def stored(df: DataFrame) -> DataFrame:
+        path = shared_folder(spark)
+        return write_bucketed(df, f"bucketed_{path.rsplit('/', 1)[1]}", "codigo_vaga", buckets, path)
+
+    both = stored(jobs).join(stored(prospects).drop("modalidade").hint("merge"), "codigo_vaga", "left")
+    return both.select("codigo_vaga", "titulo", "codigo_applicant", "situacao_candidato")
+
+
 @query(
     "status_map",
     f"WITH {frames.SQL_OUTCOMES} SELECT event_id, situacao_candidato, status_simplificado FROM labelled",

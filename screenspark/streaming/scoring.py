@@ -39,3 +39,12 @@ def score_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def stop_after_batches(stream: StreamingQuery, batches: int) -> None:
+    """Stop a running stream once so many batches are committed, or when it ends by itself."""
+    while stream.isActive and len(stream.recentProgress) < batches:
+        stream.awaitTermination(0.1)
+    stream.stop()
+    if stream.exception():
+        raise stream.exception()

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from screenspark.functions import pvalues
 from screenspark.operators import drift
@@ -97,3 +98,41 @@ def test_nan_is_missing_in_drift(spark):
     rows = {r.feature: r for r in drift.drift_report(ref, prod).collect()}
     assert (rows["x"].ref_n, rows["x"].prod_n, rows["x"].statistic) == (3, 3, 0.0)
     assert (rows["t"].ref_n, rows["t"].prod_n) == (3, 4)
+
+
+def profiled(spark):
+    rows = [(i, float(i % 7), None if i % 5 == 0 else "abcde"[i % 4] * (1 + 200 * (i % 3)), i % 2 == 0, None, float("nan") if i % 9 == 0 else i / 3) for i in range(120)]
+    schema = "id long, num double, txt string, flag boolean, empty string, frac double"
+    return spark.createDataFrame(rows, schema)
+
+
+def same_report(a, b):
+    rows = [[tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect()] for d in (a, b)]
+    assert sorted(rows[0], key=repr) == sorted(rows[1], key=repr) and rows[0]
+
+
+def test_report_from_profiles_equals_the_one_from_rows_in_any_merge_order(spark):
+    ref = profiled(spark)
+    prod = ref.filter("id < 60").withColumn("num", F.col("num") + 1).withColumn("other", F.lit(1))
+    want = drift.drift_report(ref, prod)
+    parts = [drift.drift_profile(ref.filter(f"id % 3 = {i}")) for i in range(3)]
+    same_report(drift.profile_report(drift.drift_profile(ref), drift.drift_profile(prod)), want)
+    for order in ((0, 1, 2), (2, 0, 1)):
+        a, b, c = (parts[i] for i in order)
+        same_report(drift.profile_report(drift.merge_profiles(a, drift.merge_profiles(b, c)), drift.drift_profile(prod)), want)
+    empty = ref.limit(0)
+    same_report(drift.profile_report(drift.drift_profile(ref), drift.drift_profile(empty)), drift.drift_report(ref, empty))
+
+
+def test_numbers_on_one_side_only_are_compared_as_texts(spark):
+    ref = spark.range(20).select((F.col("id") % 3).alias("x"))
+    prod = spark.range(9).select((F.col("id") % 4).cast("string").alias("x"))
+    same_report(drift.profile_report(drift.drift_profile(ref), drift.drift_profile(prod)), drift.drift_report(ref, prod))
+
+
+def test_stored_profile_is_all_that_is_read(spark, tmp_path):
+    ref = profiled(spark)
+    ref.write.parquet(str(tmp_path / "rows"))
+    drift.drift_profile(spark.read.parquet(str(tmp_path / "rows"))).write.parquet(str(tmp_path / "profile"))
+    report = drift.profile_report(spark.read.parquet(str(tmp_path / "profile")), drift.drift_profile(ref))
+    assert all("/profile/" in f for f in report.inputFiles()) and report.filter("drift").count() == 0

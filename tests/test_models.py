@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from screenspark import fixed_values as fixed
 from screenspark.names import with_ml_names
 from screenspark.operators import encode, models, scoring
-from screenspark.streaming.scoring import read_items, score_stream
+from screenspark.streaming.scoring import read_items, score_stream, stop_after_batches
 
 SPEC = models.FeatureColumns(
     categories=("perfil_vaga.nivel_academico", "formacao.nivel", "modalidade"),
@@ -94,6 +94,21 @@ def test_stream_scores_like_the_batch(spark, trained, tmp_path):
     assert got == pytest.approx(want)
 
 
+def test_stopped_stream_goes_on_where_it_ended(spark, trained, tmp_path):
+    items(spark).repartition(6).write.parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = read_items(spark, str(tmp_path / "in"), items(spark).schema, files_per_batch=2)
+        return score_stream(stream, trained[0], str(tmp_path / "out"), str(tmp_path / "cp"))
+
+    stop_after_batches(run(), 1)
+    first = spark.read.parquet(str(tmp_path / "out")).count()
+    assert first > 0
+    run().awaitTermination(120)
+    got = [r.rid for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted(r.rid for r in items(spark).collect())
+
+
 def test_ranking_requests(spark, trained):
     jobs = spark.createDataFrame(
         [("v", {"perfil_vaga.principais_atividades": "procura sap", "modalidade": "remoto"})],

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 # Their SQL computes the large-sample KS tail, which applies to over 10,000 rows.
-NEEDS_ROWS = {"drift_report", "drift_summary"}
+NEEDS_ROWS = {"drift_report", "drift_stored", "drift_summary"}
 # Hundreds of trees: the operators are tested with few in test_models.py, the queries by tools/check_queries.py.
 LONG = {"train_forest", "train_boosted", "compare_models"}
 

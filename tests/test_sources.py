@@ -139,3 +139,12 @@ def test_schema_words_in_names_stay(spark):
     assert set(found.names) == {"VOID", "OBJECT<x", "n", "k"}
     assert found["k"].dataType.names == ["VOID"] and found["OBJECT<x"].dataType.names == ["a VOID b"]
     assert found["VOID"].dataType.simpleString() == "string" and found["n"].dataType.simpleString() == "array<string>"
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    left = spark.range(200).selectExpr("cast(id % 50 as string) AS job", "id AS n")
+    right = spark.range(40).selectExpr("cast(id as string) AS job", "id * 2 AS m")
+    tables_ = [tables.write_bucketed(d, f"bucketed_{i}", "job", 4, str(tmp_path / str(i))) for i, d in enumerate((left, right))]
+    joined = tables_[0].join(tables_[1].hint("merge"), "job", "left")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, left.join(right, "job", "left").collect()), key=str)

@@ -175,3 +175,11 @@ def test_large_json_tables_equal_whole_ones(spark, tmp_path, text):
     assert got.dtypes == whole.dtypes
     if got.columns:
         assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_many_ranges_share_few_tasks(spark):
+    every = spark.range(5000).selectExpr("'/x' path", "5000L length", "id start", "id + 1 end")
+    dealt = ranges._spread(every)
+    assert dealt.rdd.getNumPartitions() == max(ranges.TASKS, 4 * spark.sparkContext.defaultParallelism)
+    assert dealt.agg({"start": "sum"}).first()[0] == sum(range(5000))
+    assert ranges._spread(every.limit(3)).rdd.getNumPartitions() == 3

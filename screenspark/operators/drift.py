@@ -18,8 +18,9 @@ from screenspark.functions.pvalues import drift_p_value
 from screenspark.functions.scalars import known_number
 from screenspark.names import col, cols
 from screenspark.operators.joins import aligned_counts
-from screenspark.operators.prefix import running_totals
+from screenspark.operators.prefix import ordered_totals, summed_values
 from screenspark.operators.profile import is_numeric, value_key, value_text, value_texts
+from screenspark.session import written
 
 EMPTY = "feature string, statistic double, dof int"
 
@@ -76,14 +77,15 @@ def kolmogorov_smirnov(ref: DataFrame, prod: DataFrame, names: Sequence[str]) ->
         return numbers.unpivot([], cols(names), "feature", "value").withColumn("is_ref", F.lit(is_ref))
 
     both = long(ref, 1).unionByName(long(prod, 0)).filter("value is not null")
-    return _largest_gap(both, F.col("is_ref"), 1 - F.col("is_ref"))
+    counts = {"ref_c": F.col("is_ref"), "prod_c": 1 - F.col("is_ref")}
+    return _largest_gap(written(summed_values(both, "value", counts, "feature")))
 
 
-def _largest_gap(both: DataFrame, ref_c: Column, prod_c: Column) -> DataFrame:
-    """From ``feature, value`` and how often each side has the row's value."""
-    sums = running_totals(both, "value", {"ref_c": ref_c, "prod_c": prod_c}, feature="feature")
-    totals = both.groupBy(F.col("feature").alias("total_feature")).agg(
-        F.sum(ref_c).alias("ref_n"), F.sum(prod_c).alias("prod_n")
+def _largest_gap(counts: DataFrame) -> DataFrame:
+    """From ``feature, v`` and how often each side has the value; several passes read it."""
+    sums = ordered_totals(counts, ["ref_c", "prod_c"])
+    totals = counts.groupBy(F.col("feature").alias("total_feature")).agg(
+        F.sum("ref_c").alias("ref_n"), F.sum("prod_c").alias("prod_n")
     )
     gap = F.abs(F.col("cum_ref_c") / F.col("ref_n") - F.col("cum_prod_c") / F.col("prod_n"))
     return (
@@ -191,7 +193,9 @@ def profile_report(ref: DataFrame, prod: DataFrame, alpha: float = fixed.DRIFT_A
         (numbers if row["is_number"] else others).append(row["feature"])
     spark = ref.sparkSession
     values = both.filter("key is not null")
-    ks = _largest_gap(values.filter(F.col("feature").isin(numbers)), F.col("ref_c"), F.col("prod_c")) if numbers else None
+    sums = {n: F.col(n) for n in ("ref_c", "prod_c")}
+    known = values.filter(F.col("feature").isin(numbers))
+    ks = _largest_gap(summed_values(known, "value", sums, "feature")) if numbers else None
     counts = values.filter(F.col("feature").isin(others)).groupBy("feature", F.col("key").alias("value"))
     chi = _chi_square(counts.agg(F.sum("ref_c").alias("ref_c"), F.sum("prod_c").alias("prod_c")))
     stats = chi if ks is None else chi.unionByName(ks, allowMissingColumns=True)

@@ -136,3 +136,18 @@ def test_stored_profile_is_all_that_is_read(spark, tmp_path):
     drift.drift_profile(spark.read.parquet(str(tmp_path / "rows"))).write.parquet(str(tmp_path / "profile"))
     report = drift.profile_report(spark.read.parquet(str(tmp_path / "profile")), drift.drift_profile(ref))
     assert all("/profile/" in f for f in report.inputFiles()) and report.filter("drift").count() == 0
+
+
+def test_kolmogorov_smirnov_reads_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        read.add(1)
+        return value
+
+    kept = F.udf(seen, "double").asNondeterministic()
+    ref, prod = (spark.createDataFrame([(float(i),) for i in r], "a double").select(kept("a").alias("a"))
+                 for r in (range(0, 200), range(50, 350)))
+    got = drift.kolmogorov_smirnov(ref, prod, ["a"]).collect()
+    assert [r.statistic for r in got] == [pytest.approx(0.5)]
+    assert read.value == 500

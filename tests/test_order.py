@@ -229,3 +229,32 @@ def test_describe(spark):
     assert (x["count"], x["min"], x.p25, x.p50, x.p75, x["max"]) == (11, 0.0, 2.5, 5.0, 7.5, 10.0)
     assert x["std"] == pytest.approx(np.std(range(11), ddof=1))
     assert rows["z"]["count"] == 0 and rows["z"].p50 is None
+
+
+def counted_rows(spark, df):
+    """The table, and how often one of its rows was read so far."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        read.add(1)
+        return value
+
+    kept = F.udf(seen, df.schema["a"].dataType).asNondeterministic()
+    return df.withColumn("a", kept("a")), read
+
+
+def test_describe_reads_its_rows_once(spark):
+    rows = [(float(i % 7), i) for i in range(300)] + [(None, None), (math.nan, 5)]
+    df, read = counted_rows(spark, spark.createDataFrame(rows, "a double, b int"))
+    got = {r.feature: r for r in profile.describe(df.withColumn("c", F.lit(None).cast("int")), ["a", "b", "c"]).collect()}
+    a = [v for v, _ in rows if v is not None and v == v]
+    assert (got["a"]["count"], got["a"]["min"], got["a"]["max"], got["a"].p50) == (300, 0.0, 6.0, 3.0)
+    assert (got["a"]["mean"], got["a"]["std"]) == (pytest.approx(np.mean(a)), pytest.approx(np.std(a, ddof=1)))
+    assert got["b"]["count"] == 301 and tuple(got["c"])[1:] == (0, *[None] * 7)
+    assert read.value == len(rows)
+
+
+def test_describe_of_one_row_and_of_none(spark):
+    one = spark.createDataFrame([(4.0,)], "a double")
+    assert tuple(profile.describe(one, ["a"]).first()) == ("a", 1, 4.0, None, 4.0, 4.0, 4.0, 4.0, 4.0)
+    assert profile.describe(one.limit(0), ["a"]).count() == 0

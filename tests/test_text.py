@@ -102,3 +102,12 @@ def test_join_texts(spark):
     joined = lambda a, b, c: X.join_texts([a, b, c])
     assert one(spark, joined, "a", None, "c") == "a  c"
     assert spark.range(1).select(X.join_texts([])).first()[0] == ""
+
+
+def test_word_runs_of_few_words(spark):
+    rows = [(["a", "b", "c"],), (["a"],), ([],), (["a", None, "c"],)]
+    df = spark.createDataFrame(rows, "w array<string>")
+    runs = df.select(X.ngrams(F.col("w"), 2, 3).alias("r"))
+    got = [r.r for r in runs.collect()]
+    assert got == [["a b", "b c", "a b c"], [], [], ["a", "c", "a c"]]
+    assert "slice(" not in runs._jdf.queryExecution().optimizedPlan().toString()

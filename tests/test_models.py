@@ -1,4 +1,6 @@
 import json
+import math
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -284,3 +286,24 @@ def test_candidates_of_an_unknown_job_are_ranked(spark, trained):
     rows = best.collect()
     assert {r.pos for r in rows} == {1, 2} and {(r.top_k, r.threshold_used) for r in rows} == {(5, 0.6)}
     assert {r.missing_count for r in rows} == {4, 5}
+
+
+def test_similarity_walks_the_terms_of_the_candidate_only(spark):
+    rows = [("sap java nuvem", "java sap"), ("", "java"), ("python", ""), ("sap sap dados", "dados nuvem sap")]
+    df = spark.createDataFrame(rows, "cv string, job string")
+    terms, idf = ["dados", "java", "nuvem", "sap"], [1.5, 1.25, 2.0, 1.0]
+    model = encode.SimilarityTfidfModel(jobCol="job", candidateCol="cv", terms=terms, idf=idf)
+    out = model.transform(df)
+    weight = dict(zip(terms, idf))
+
+    def unit(text):
+        raw = {t: n * weight[t] for t, n in Counter(text.split()).items() if t in weight}
+        length = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+        return {t: x / length for t, x in raw.items()}
+
+    for r in out.collect():
+        job = unit(r.job)
+        assert r.sim_cv_vaga == pytest.approx(sum(x * job.get(t, 0.0) for t, x in unit(r.cv).items()), abs=1e-12)
+    assert "unwrap_udt" in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    nothing = encode.SimilarityTfidfModel(jobCol="job", candidateCol="cv", terms=[], idf=[]).transform(df)
+    assert [r.sim_cv_vaga for r in nothing.collect()] == [0.0] * 4

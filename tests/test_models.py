@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from screenspark import fixed_values as fixed
 from screenspark.names import with_ml_names
 from screenspark.operators import encode, models, scoring
+from screenspark.plans import model_queries
 from screenspark.streaming.scoring import read_items, score_stream, stop_after_batches
 
 SPEC = models.FeatureColumns(
@@ -307,3 +308,25 @@ def test_similarity_walks_the_terms_of_the_candidate_only(spark):
     assert "unwrap_udt" in out._jdf.queryExecution().optimizedPlan().toString().lower()
     nothing = encode.SimilarityTfidfModel(jobCol="job", candidateCol="cv", terms=[], idf=[]).transform(df)
     assert [r.sim_cv_vaga for r in nothing.collect()] == [0.0] * 4
+
+
+def test_compare_models_query_fits_every_tree_and_round(spark, monkeypatch):
+    columns = {"rid": "doc_id", "perfil_vaga.nivel_academico": "vaga.nivel", "formacao.nivel": "lang", "modalidade": "source",
+               "perfil_vaga.principais_atividades": "vaga.atividades"}
+    rows = people(spark).withColumnsRenamed(columns)
+    monkeypatch.setattr(model_queries, "training_table", lambda *_: rows)
+    asked = {}
+
+    def fits_few(kind, name):
+        fit = kind._fit
+
+        def few(self, df):
+            asked[name] = self.getOrDefault(name)
+            return fit(self.copy({getattr(self, name): 2}), df)
+
+        monkeypatch.setattr(kind, "_fit", few)
+
+    fits_few(models.HistogramBooster, "rounds")
+    fits_few(models.BalancedForest, "trees")
+    found = {r["model"] for r in model_queries.compare_models(spark, "").collect()}
+    assert found == {"LogReg", "RandomForest", "Boosted"} and asked == {"rounds": 300, "trees": 300}

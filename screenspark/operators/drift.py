@@ -7,7 +7,7 @@ there are. From there on the tables hold one row per column.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -183,26 +183,34 @@ def merge_profiles(*profiles: DataFrame) -> DataFrame:
     return named.groupBy("feature", F.col("all_numbers").alias("is_number"), "key", "value").agg(F.sum("n").alias("n"))
 
 
-def profile_report(ref: DataFrame, prod: DataFrame, alpha: float = fixed.DRIFT_ALPHA) -> DataFrame:
-    """The drift report of the tables behind two profiles; neither table is read."""
+def profile_report(
+    ref: DataFrame,
+    prod: DataFrame,
+    alpha: float = fixed.DRIFT_ALPHA,
+    keep: Callable[[DataFrame], DataFrame] = lambda counts: counts,
+) -> DataFrame:
+    """The drift report of the tables behind two profiles; neither table is read.
+
+    Several steps read the counts of both sides by value: ``keep`` may store them, as ``written`` does.
+    """
     both = ref.withColumn("is_ref", F.lit(1)).unionByName(prod.withColumn("is_ref", F.lit(0)))
     both = both.withColumns({"ref_c": F.col("n") * F.col("is_ref"), "prod_c": F.col("n") * (1 - F.col("is_ref"))})
     sides = both.groupBy("feature").agg(F.min("is_number").alias("is_number"), F.countDistinct("is_ref").alias("sides"))
     numbers, others = [], []
     for row in sides.filter("sides = 2").collect():  # one row per column
         (numbers if row["is_number"] else others).append(row["feature"])
-    spark = ref.sparkSession
-    values = both.filter("key is not null")
-    sums = {n: F.col(n) for n in ("ref_c", "prod_c")}
-    known = values.filter(F.col("feature").isin(numbers))
-    ks = _largest_gap(summed_values(known, "value", sums, "feature")) if numbers else None
-    counts = values.filter(F.col("feature").isin(others)).groupBy("feature", F.col("key").alias("value"))
-    chi = _chi_square(counts.agg(F.sum("ref_c").alias("ref_c"), F.sum("prod_c").alias("prod_c")))
-    stats = chi if ks is None else chi.unionByName(ks, allowMissingColumns=True)
-    sizes = both.filter(F.col("feature").isin(numbers + others)).groupBy("feature")
-    sizes = sizes.agg(F.sum("ref_c").alias("ref_n"), F.sum("prod_c").alias("prod_n"))
-    if not numbers and not others:
-        stats = spark.createDataFrame([], EMPTY)
+    # A row per value of a column: numbers by value, all others by key.
+    as_number = F.col("feature").isin(numbers)
+    sums = [F.sum(n).alias(n) for n in ("ref_c", "prod_c")]
+    entries = both.filter(F.col("feature").isin(numbers + others)).select(
+        "feature", F.when(~as_number, F.col("key")).alias("key"), F.when(as_number, F.col("value")).alias("v"), "ref_c", "prod_c"
+    )
+    counts = keep(entries.groupBy("feature", "key", "v").agg(*sums))
+    stats = _chi_square(counts.filter("key is not null")) if others else ref.sparkSession.createDataFrame([], EMPTY)
+    if numbers:
+        ks = _largest_gap(counts.filter("v is not null").drop("key"))
+        stats = stats.unionByName(ks, allowMissingColumns=True)
+    sizes = counts.groupBy("feature").agg(F.sum("ref_c").alias("ref_n"), F.sum("prod_c").alias("prod_n"))
     return _report(stats.withColumnRenamed("feature", "stat_feature"), sizes, numbers, alpha)
 
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from screenspark.functions import pvalues
 from screenspark.operators import drift
+from screenspark.session import FREE_SHUFFLES, written
 
 
 def test_published_ks_p_values():
@@ -151,3 +153,37 @@ def test_kolmogorov_smirnov_reads_its_rows_once(spark):
     got = drift.kolmogorov_smirnov(ref, prod, ["a"]).collect()
     assert [r.statistic for r in got] == [pytest.approx(0.5)]
     assert read.value == 500
+
+
+def test_report_from_profiles_reads_each_of_them_twice_at_most(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        read.add(1)
+        return value
+
+    kept = F.udf(seen, "long").asNondeterministic()
+    sides = [spark.createDataFrame([(i, "ab"[i % 2]) for i in r], "a long, b string") for r in (range(200), range(50, 350))]
+    profiles = [drift.drift_profile(d).withColumn("n", kept("n")) for d in sides]
+    rows = sum(p.count() for p in profiles)
+    read.value = 0
+    got = {r.feature: r.statistic for r in drift.profile_report(*profiles, keep=written).collect()}
+    assert got == {"a": pytest.approx(0.5), "b": pytest.approx(0.0)}
+    assert read.value <= 2 * rows
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        blocks = disk.getAllBlocks()
+        return {n for n in (blocks.apply(i).name() for i in range(blocks.size())) if n.startswith("shuffle_")}
+
+    before = shuffles()
+    table = written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    # Files are deleted in the background.
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert table.count() == 10 and spark.conf.get(FREE_SHUFFLES) == "false"
